@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -70,6 +71,14 @@ def _clean() -> None:
             return
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, if that folder exists there."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH") or os.environ.get("PYTHONPATH"))))
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public tokenizer file ``name`` lies on this machine."""
     import public_tokenizers
