@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvstrata.llm import chat, pii, quality, sharding
+from kvstrata.llm import bpe, chat, packing, pii, quality, sharding, token_counts
 from kvstrata.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,9 @@ def queries() -> dict[str, Query]:
         "op3_pii": lambda spark, sf: pii.digest(read(spark, sf, "documents")),
         "op4_chat_format": lambda spark, sf: chat.digest(read(spark, sf, "conversations")),
         "op5_quality_rules": lambda spark, sf: quality.digest(read(spark, sf, "documents")),
+        "op6_token_counts": lambda spark, sf: token_counts.digest(read(spark, sf, "documents")),
+        "op7_packing": lambda spark, sf: packing.pack(read(spark, sf, "documents")),
+        "op10_byte_bpe": lambda spark, sf: bpe.digest(read(spark, sf, "documents")),
     }
 
 
