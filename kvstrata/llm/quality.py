@@ -66,11 +66,11 @@ def _line_fails(line: Column) -> Column:
     return punctuation | navigation | boilerplate
 
 
-def measure(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cleaned.
+def measure(docs: DataFrame, ident: str = "doc_id", text: str = "text", *, carry: bool = False) -> DataFrame:
+    """Per row: ident, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cleaned.
 
     ``cleaned`` is the text without failed lines (null for a null text, which has no words and is rejected, as is
-    an empty one). Rows stay rows: repeated documents are judged alike. Extra columns are not touched or returned.
+    an empty one). Rows stay rows: repeated documents are judged alike. With ``carry`` the whole row comes along as the struct ``q_row``; other columns don't matter.
     """
     full = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(full, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -79,6 +79,7 @@ def measure(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
     solid = lambda c: F.length(F.regexp_replace(c, _SPACE, "")).cast("long")
     measured = docs.select(
         F.col(ident),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row")] if carry else []),
         F.col(text).alias("q_text"),
         let(_words(full), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("q"),
         solid(full).alias("word_chars"),
@@ -99,9 +100,17 @@ def measure(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
         base_failed.alias("base_failed"),
         (~base_failed & (lost <= MAX_LOST * F.col("word_chars"))).alias("kept"),
         F.when(F.col("q_text").isNotNull(), F.col("q_cleaned")).alias("cleaned"),
+        *(["q_row"] if carry else []),
     )
 
 
+def clean(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of kept documents, with cleaned texts and their n_chars (if there is such a column)."""
+    kept = measure(docs, ident, text, carry=True).filter("kept")
+    new = {text: F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    return kept.select(*[new[c].alias(c) if c in new else F.col("q_row").getField(c).alias(c) for c in docs.columns])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The numbers and the verdict of every document."""
     return measure(docs).drop("cleaned")
