@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvstrata.llm import bpe, chat, near_dup, packing, pii, quality, sharding, token_counts
+from kvstrata.llm import ann, bpe, chat, near_dup, packing, pii, quality, sharding, token_counts
 from kvstrata.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_kd_shards": lambda spark, sf: sharding.shard_documents(read(spark, sf, "documents")),
+        "op2_additive_quantisation": lambda spark, sf: ann.neighbours(read(spark, sf, "embeddings")),
         "op3_pii": lambda spark, sf: pii.digest(read(spark, sf, "documents")),
         "op4_chat_format": lambda spark, sf: chat.digest(read(spark, sf, "conversations")),
         "op5_quality_rules": lambda spark, sf: quality.digest(read(spark, sf, "documents")),
