@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvstrata.llm import ann, bpe, chat, near_dup, packing, pii, quality, sharding, token_counts
+from kvstrata.llm import ann, bpe, chat, html_wrappers, near_dup, packing, pii, quality, sharding, token_counts
 from kvstrata.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op5_quality_rules": lambda spark, sf: quality.digest(read(spark, sf, "documents")),
         "op6_token_counts": lambda spark, sf: token_counts.digest(read(spark, sf, "documents")),
         "op7_packing": lambda spark, sf: packing.pack(read(spark, sf, "documents")),
+        "op8_html_wrappers": lambda spark, sf: html_wrappers.main_text(read(spark, sf, "pages")),
         "op9_near_duplicates": lambda spark, sf: near_dup.near_duplicates(read(spark, sf, "documents")),
         "op10_byte_bpe": lambda spark, sf: bpe.digest(read(spark, sf, "documents")),
     }
