@@ -172,7 +172,7 @@ def test_quality_numbers(spark):
 def test_lines_and_documents(spark):
     prose = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) + "." for i in range(8))
     menu = "Home | About | Contact\n"
-    texts = [prose, menu + prose + "\nAll rights reserved.", "$$$%%% &&&*** ### |||\n" * 40 + prose, "\n".join("#".join(f"a{i}b{j}" for j in range(9)) + " z" for i in range(60))]
+    texts = [prose, menu + prose + "\nAll rights reserved.", "$$$%%% &&&*** ### |||\n" * 40 + prose, "\n".join("##".join(f"a{i}b{j}" for j in range(9)) + " z" for i in range(60))]
     rows = quality.measure(documents(spark, texts)).orderBy("doc_id").collect()
     assert [r["kept"] for r in rows] == [True, True, False, False]
     assert rows[0]["cleaned"] == rows[1]["cleaned"] == prose

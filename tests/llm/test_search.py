@@ -162,8 +162,9 @@ def test_sketches_estimate_probability_jaccard():
 
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101)], "a long, b long")
-    got = {r["id"]: r["class"] for r in near_dup.components(links).collect()}
-    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+    for most in (near_dup.LINKS, 5):
+        got = {r["id"]: r["class"] for r in near_dup.components(links, most).collect()}
+        assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
 # pages
