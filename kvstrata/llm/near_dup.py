@@ -4,11 +4,13 @@ A document is the multiset of its runs of five white-space separated words. Sket
 similarity: every shingle is a Poisson process whose rate is its weight, each arrival falls into one of the slots,
 and a slot keeps the shingle that arrived first; a document's processes end once no arrival can be first any more.
 
-Exact copies are one text from the start. Of the texts that share a band, each is verified first against the smallest
-identifier of the bucket it shares most bands with; then, as long as a bucket holds more than one class, the
-representatives of its classes are compared with up to PIVOTS of them, which then leave the bucket. So work grows with
-the members of a bucket and with its classes, never with all pairs of its members. Pairs whose sketches agree in
-fewer than LEAST of the slots are not read; at a true similarity of 0.8 fewer than one pair in ten million is so.
+Exact copies are one text from the start. Texts that share a band meet in rounds. In the first rounds each bucket has one
+row for each class it still holds, and every class verifies the few pairs with rows of a bucket's largest class that
+agree best by their sketches. Then every text outside of a bucket's largest class meets all texts of other classes there,
+in blocks of bounded size; pairs that agree are verified on the spot, in the first band they share, and only links
+leave the block. So a bucket's largest class is never compared with itself, no list of pairs is made of a group,
+and no candidate is left out. Pairs whose sketches agree in fewer than LEAST of the slots are not verified; at a
+true similarity of 0.8 fewer than one pair in two thousand is so.
 """
 
 from __future__ import annotations
@@ -25,12 +27,21 @@ from kvstrata.llm.common import materialize, release, ship
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 25, 5
-SLOTS = BANDS * ROWS
+#: Slots of a sketch; bands are runs of a fixed shuffle of them, and two in a row share none.
+SLOTS = 192
+BANDS, ROWS = 48, 8
 #: Share of equal slots below which a pair is not read.
-LEAST = 0.6
-#: Classes of a bucket that are compared with all its others in one round.
-PIVOTS = 8
+LEAST = 0.7
+#: Rounds in which a bucket compares its classes with the largest of them only.
+EARLY = 2
+#: Pairs that a class verifies in one of these rounds.
+TRIES = 3
+#: Rows of a block in a bucket.
+BLOCK = 256
+#: Links of which one task finds the classes; more are joined in rounds.
+LINKS = 1_000_000
+#: Rows of two numbers that are broadcast.
+BROADCAST_ROWS = 400_000
 #: Documents compared with one pivot in one task.
 SHARE = 512
 #: Words kept hashed in a worker.
@@ -39,6 +50,10 @@ _U = np.uint64
 _MIX = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
+#: The slots of each band.
+_PLACES = np.concatenate([np.random.default_rng(k).permutation(SLOTS) for k in range(BANDS * ROWS // SLOTS)]).reshape(BANDS, ROWS)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> _U(30))) * _MIX[1]
@@ -129,7 +144,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sketches(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """Per row: id, hash of the text (two longs), slots (four bytes each), bands (one long each; null without shingles)."""
+    """Per row: id, hash of the text (two longs), bands (one long each; null without shingles)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,78 +161,181 @@ def sketches(docs: DataFrame, ident: str, text: str) -> DataFrame:
                 some[doc] = True
                 bands = np.zeros((len(part), BANDS), np.uint64)
                 for k in range(ROWS):
-                    bands = mix(bands * _MIX[0] + won[:, k::ROWS])
+                    bands = mix(bands * _MIX[0] + won[:, _PLACES[:, k]])
                 bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * _MIX[4]).view(np.int64)
                 digest = [xxhash.xxh3_128_digest(t.encode()) for t in part]
                 halves = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-                small = won.astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array(halves[:, 0]),
                         pa.array(halves[:, 1]),
-                        pa.array([small[i].tobytes() if s else None for i, s in enumerate(some)], pa.binary()),
                         pa.array([bands[i] if s else None for i, s in enumerate(some)], pa.list_(pa.int64())),
                     ],
-                    names=["id", "h1", "h2", "slots", "bands"],
+                    names=["id", "h1", "h2", "bands"],
                 )
 
-    return docs.filter(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, h1 long, h2 long, slots binary, bands array<long>")
+    return docs.filter(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, h1 long, h2 long, bands array<long>")
+
+
+def sets(texts: DataFrame) -> DataFrame:
+    """For rows (id, text): id, slots (four bytes each), items (sorted shingles, eight bytes each) and weights (doubles; null if all are one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            every = batch.column(1).to_pylist()
+            for a, b in groups(every):
+                doc, item, weight = shingles(every[a:b], hashes)
+                won = sketch(doc, item, weight, b - a).astype("<u4")
+                cut = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
+                own = [slice(i, j) for i, j in zip(cut, cut[1:], strict=False)]
+                columns = [[w.tobytes() for w in won], [item[s].tobytes() for s in own], [None if (weight[s] == 1).all() else weight[s].tobytes() for s in own]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, pa.binary()) for c in columns)], names=["id", "slots", "items", "weights"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, slots binary, items binary, weights binary")
+
+
+def _set(items: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    items = np.frombuffer(items, np.uint64)
+    return items, np.ones(len(items)) if weights is None else np.frombuffer(weights)
 
 
 def _agreeing(pairs: DataFrame, slots: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches agree in LEAST of the slots."""
+    """The pairs (a, b) whose sketches agree in LEAST of the slots, with that share as ``agree``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, SLOTS) for k in (2, 3))
-                keep = pa.array((x == y).mean(axis=1) >= LEAST)
-                yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+                share = (x == y).mean(axis=1)
+                keep = pa.array(share >= LEAST)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(keep) for k in (0, 1)), pa.array(share).filter(keep)], names=["a", "b", "agree"])
 
     left, right = (slots.select(F.col("id").alias(k), F.col("slots").alias(f"s_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long, agree double")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose similarity is SIMILARITY or more.
+def across(rows: DataFrame) -> DataFrame:
+    """The links (a, b) between texts of different classes in a bucket, of rows (key, band, id, class, slots, items, weights).
 
-    Texts are dealt out by b, the pivot, in shares of SHARE, each share with a copy of the pivot's text; a task streams
+    Within a bucket rows are dealt into blocks; every block of rows outside of the largest class meets each
+    block at or after it and each block of the largest class, and nothing else meets.
+    """
+    per = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("k"))
+    largest = per.groupBy("key").agg(F.max(F.struct(F.col("k"), (-F.col("class")).alias("c"))).alias("top"), F.sum("k").alias("all"))
+    largest = largest.filter(F.col("all") > F.col("top.k")).select("key", (-F.col("top.c")).alias("top"), F.ceil(F.col("top.k") / BLOCK).cast("int").alias("n_top"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("n_rest"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("class") == F.col("top"), F.col("n_top")).otherwise(F.col("n_rest"))).cast("int")
+    dealt = rows.join(largest, "key").withColumn("own", own)
+    # a task is (left block, right block); right blocks of the largest class have numbers below zero
+    side = lambda left, l, r: F.struct(F.lit(left).alias("left"), l.alias("l"), r.alias("r"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    of_top = F.transform(upto(F.col("n_rest")), lambda t: side(False, t, -1 - F.col("own")))
+    of_rest = F.concat(
+        F.transform(upto(F.col("n_top")), lambda s: side(True, F.col("own"), -1 - s)),
+        F.transform(F.sequence(F.col("own"), F.col("n_rest") - 1), lambda u: side(True, F.col("own"), u)),
+        F.transform(F.sequence(F.lit(0), F.col("own")), lambda t: side(False, t, F.col("own"))),
+    )
+    placed = dealt.withColumn("at", F.explode(F.when(F.col("class") == F.col("top"), of_top).otherwise(of_rest)))
+    placed = placed.select("key", F.col("at.l").alias("l"), F.col("at.r").alias("r"), F.col("at.left").alias("left"), "class", "id", "band", "slots", "items", "weights")
+    placed = placed.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+
+    def links(rows: list, out: list) -> None:
+        left, right = [r for r in rows if r[3]], [r for r in rows if not r[3]]
+        if not left or not right:
+            return
+        x, y = (np.frombuffer(b"".join(r[7] for r in part), "<u4").reshape(-1, SLOTS) for part in (left, right))
+        cy, iy = (np.array([r[k] for r in right]) for k in (4, 5))
+        ready: dict[int, tuple] = {}
+        for i, one in enumerate(left):
+            same = y == x[i]
+            near = np.flatnonzero((same.mean(axis=1) >= LEAST) & (cy != one[4]) & ((iy < one[5]) | (one[2] != one[1])))
+            if not len(near):
+                continue
+            # a pair is verified in the first band that both share
+            near = near[same[near][:, _PLACES].all(axis=2).argmax(axis=1) == one[6]]
+            own = _set(one[8], one[9])
+            for j in near.tolist():
+                if j not in ready:
+                    ready[j] = _set(right[j][8], right[j][9])
+                if similarity(own, ready[j]) >= SIMILARITY:
+                    out.append((max(one[5], right[j][5]), min(one[5], right[j][5])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        held: list = []
+        for batch in batches:
+            out: list = []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    links(held, out)
+                    held = []
+                held.append(row)
+            yield batch_of(out)
+        out = []
+        links(held, out) if held else None
+        yield batch_of(out)
+
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The written table for a join: broadcast up to BROADCAST_ROWS rows, as it is beyond."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose similarity is SIMILARITY or more; ``known`` has the sets of their ids.
+
+    Sets are dealt out by b, the pivot, in shares of SHARE, each share with a copy of the pivot's set; a task streams
     its rows and holds one pivot at a time.
     """
     shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
     rows = pairs.join(shares, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("kind"))
     pivots = shares.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"))
-    wanted = rows.unionByName(pivots)
-    texts = docs.filter(F.col(text).isNotNull()).select(F.col(ident).cast("long").alias("a"), F.col(text).alias("text"))
-    dealt = wanted.join(texts, "a").repartition("b", "share").sortWithinPartitions("b", "share", "kind").select("a", "b", "share", "kind", "text")
+    dealt = rows.unionByName(pivots).join(known.select(F.col("id").alias("a"), "items", "weights"), "a")
+    dealt = dealt.repartition("b", "share").sortWithinPartitions("b", "share", "kind").select("a", "b", "share", "kind", "items", "weights")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pivot, at = Hashes(), None, None
+        pivot, at = None, None
         for batch in batches:
-            a, b, share, kind = (batch.column(k).to_pylist() for k in range(4))
             found = []
-            texts = batch.column(4).to_pylist()
-            for lo, hi in groups(texts):
-                doc, item, weight = shingles(texts[lo:hi], hashes)
-                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                for i in range(lo, hi):
-                    own = slice(cut[i - lo], cut[i - lo + 1])
-                    own = (item[own], weight[own])
-                    if kind[i] == 0:
-                        pivot, at = own, (b[i], share[i])
-                    elif at == (b[i], share[i]) and similarity(own, pivot) >= SIMILARITY:
-                        found.append(i)
+            for i, (_, b, share, kind, items, weights) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
+                if kind == 0:
+                    pivot, at = _set(items, weights), (b, share)
+                elif at == (b, share) and similarity(_set(items, weights), pivot) >= SIMILARITY:
+                    found.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(found, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (up := parent.setdefault(i, i)) != i:
+            parent[i] = i = parent[up]
+        return i
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = sorted((top(a), top(b)))
+            parent[b] = a
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([top(i) for i in list(parent)], pa.int64())], names=["id", "class"])
+
+
+def components(links: DataFrame, most: int = LINKS) -> DataFrame:
     """For every end of a link (a, b): id and the smallest id it is connected to, as ``class``.
 
-    Each round takes the smallest class among neighbours and then the class of that class; a path halves in each.
+    Up to ``most`` links go to one task. Beyond, each round takes the smallest class among neighbours and then the
+    class of that class, so that a path halves in each.
     """
+    ship(links.sparkSession)
+    if links.count() <= most:
+        return materialize(links.select("a", "b").coalesce(1).mapInArrow(_union, "id long, class long"), "classes")
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     now = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("class")), "classes")
     while True:
@@ -244,38 +362,37 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     base = materialize(sketches(docs, ident, text), "sketches")
     copies = base.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "rep")
     member = materialize(base.join(copies, ["h1", "h2"], "left").select("id", F.coalesce("rep", "id").alias("rep")), "members").distinct()
-    reps = base.join(member.filter("id != rep").select("id").distinct(), "id", "left_anti").filter("slots IS NOT NULL")
-    reps = materialize(reps.select("id", "slots", "bands"), "texts")
-    slots = reps.select("id", "slots")
-    rows = reps.select("id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.col("first") < F.col("last")).select("key", "first")
-    buckets = materialize(rows.join(shared, "key").select("key", "id", "first").distinct(), "buckets")
-    # the pivot that a text shares most bands with
-    counted = buckets.filter(F.col("id") != F.col("first")).groupBy("id", "first").agg(F.count(F.lit(1)).alias("n"))
-    pairs = counted.groupBy("id").agg(F.max(F.struct(F.col("n"), (-F.col("first")).alias("m"))).alias("x")).select(F.col("id").alias("a"), (-F.col("x.m")).alias("b"))
-    pairs = materialize(_agreeing(pairs, slots), "pairs")
-    links = materialize(verify(pairs, docs, ident, text), "links")
-    classes = components(links)
-    left = buckets.select("key", "id")
-    while True:
-        # one row per class of a bucket, in buckets with several
-        of = left.join(classes, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
-        heads = of.groupBy("key", "class").agg(F.min("id").alias("id"))
-        many = heads.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key")
-        heads = heads.join(many, "key")
-        heads = materialize(heads.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id"))).select("key", "id", "class", "place"), "heads")
-        if heads.isEmpty():
-            break
-        pivots = heads.filter(F.col("place") <= PIVOTS).select("key", F.col("id").alias("b"), F.col("place").alias("p"))
-        fresh = heads.join(pivots, "key").filter(F.col("p") < F.col("place")).select(F.col("id").alias("a"), "b").distinct()
-        fresh = materialize(_agreeing(fresh, slots), "pairs")
-        found = materialize(verify(fresh, docs, ident, text), "links") if not fresh.isEmpty() else None
-        if found is not None and not found.isEmpty():
-            links = materialize(links.union(found), "links")
+    reps = base.join(member.filter("id != rep").select("id").distinct(), "id", "left_anti").filter("bands IS NOT NULL")
+    rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.col("first") < F.col("last")).select("key")
+    buckets = materialize(rows.join(shared, "key").select("key", "band", "id").distinct(), "buckets")
+    near = materialize(buckets.select("id").distinct(), "near")
+    # only a text that shares a band with another is read again
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
+    known = materialize(sets(texts.join(_small(near), "id").dropDuplicates(["id"])), "sets")
+    links = None
+    classes = components(docs.sparkSession.sql("SELECT 0L AS a, 0L AS b WHERE false"))
+    for turn in range(EARLY + 1):
+        sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+        named = materialize(classes.join(sizes, "class"), "named")
+        of = buckets.join(_small(named), "id", "left").select("key", "band", "id", F.coalesce("class", "id").alias("class"), F.coalesce("n", F.lit(1)).alias("n"))
+        if turn < EARLY:
+            # one row for each class of a bucket
+            heads = of.repartition("key").groupBy("key", "class").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+            top = F.max(F.struct(F.col("n"), (-F.col("id")).alias("id"))).over(Window.partitionBy("key"))
+            heads = heads.withColumn("top", top).select("class", "id", (-F.col("top.id")).alias("q")).filter("id <> q")
+            pairs = materialize(heads.groupBy(F.greatest("id", "q").alias("a"), F.least("id", "q").alias("b")).agg(F.min("class").alias("side")), "pairs")
+            good = _agreeing(pairs.select("a", "b"), known.select("id", "slots")).join(pairs, ["a", "b"])
+            best = F.row_number().over(Window.partitionBy("side").orderBy(F.desc("agree"), "a", "b"))
+            found = verify(materialize(good.withColumn("r", best).filter(F.col("r") <= TRIES).select("a", "b"), "chosen"), known)
+        else:
+            many = of.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key")
+            left = materialize(of.join(many, "key").select("key", "band", "id", "class"), "left")
+            found = across(left.join(known, "id"))
+        found = materialize(found, "found")
+        if not found.isEmpty():
+            links = materialize(found if links is None else links.unionByName(found), "links")
             classes = components(links)
-        left = heads.filter(F.col("place") > PIVOTS).select("key", "id")
-        if left.isEmpty():
-            break
     of_rep = member.join(classes.select(F.col("id").alias("rep"), "class"), "rep", "left").select(F.col("id").alias("m_id"), F.coalesce("class", "rep").alias("m_class"))
     ids = docs.select(F.col(ident))
     return ids.join(of_rep, ids[ident] == F.col("m_id"), "left").select(ident, F.coalesce("m_class", F.col(ident)).cast("long").alias("class_id"))
