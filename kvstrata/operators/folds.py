@@ -88,7 +88,7 @@ def object_fold(journal: DataFrame, tag: str, *, order: str = "key_order", bucke
     """Objects with their bodies. In ``sqn_order`` current writes are read from the journal and expiry is not looked at."""
     if order == "sqn_order":
         seen = as_of(journal, at.get("sqn")).filter(F.col("tag") == tag)
-        now = ledger(seen, all_versions=True).select("tag", "bucket", "key", "sqn")
+        now = ledger(seen, all_versions=True, base=at.get("base"), where=F.col("tag") == tag).select("tag", "bucket", "key", "sqn")
         return seen.filter(F.col("jtype") == "stnd").join(now, ["tag", "bucket", "key", "sqn"], "left_semi").select("sqn", "bucket", "key", "value")
     where = F.col("tag") == tag
     for cond in (None if bucket is None else F.col("bucket") == bucket, None if start is None else F.col("key") >= start, None if end is None else F.col("key") <= end):

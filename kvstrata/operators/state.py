@@ -6,6 +6,8 @@ on values. A condition on values before the second step would bring an older ver
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ KEYS = ("tag", "bucket_type", "bucket", "key", "subkey")
 POSTING = ("bucket_type", "bucket", "field", "term_s", "term_i", "key")
 
 
+@dataclass(frozen=True)
+class Base:
+    """A stored state: the latest versions of objects and postings, tombstones included, as of a sequence number."""
+
+    ledger: DataFrame
+    index: DataFrame
+    sqn: int
+
+
 def as_of(journal: DataFrame, sqn: int | None) -> DataFrame:
     """The journal as a snapshot at that sequence number sees it."""
     return journal if sqn is None else journal.filter(F.col("sqn") <= sqn)
@@ -59,12 +70,19 @@ def modified_within(lo: int, hi: int | None) -> Column:
     return F.col("lmd").isNull() | ((F.col("lmd") >= lo) & upper)
 
 
-def ledger(journal: DataFrame, *, where: Column | None = None, sqn: int | None = None, now: int | None = None, all_versions: bool = False) -> DataFrame:
-    """The visible state of every object key. ``where`` may look at key columns only; it reaches the scan."""
-    changes = object_changes(as_of(journal, sqn))
-    if where is not None:
-        changes = changes.filter(where)
-    state = latest(changes, KEYS)
+def _changes(journal: DataFrame, of, stored: DataFrame | None, base: Base | None, where: Column | None, sqn: int | None) -> DataFrame:
+    """The changes up to a snapshot; from a stored state, where it is no newer, and the journal after it."""
+    if base is not None and (sqn is None or sqn >= base.sqn):
+        fresh = of(as_of(journal, sqn).filter(F.col("sqn") > base.sqn))
+        changes = stored.select(fresh.columns).unionByName(fresh)
+    else:
+        changes = of(as_of(journal, sqn))
+    return changes if where is None else changes.filter(where)
+
+
+def ledger(journal: DataFrame, *, where: Column | None = None, sqn: int | None = None, now: int | None = None, all_versions: bool = False, base: Base | None = None) -> DataFrame:
+    """The visible state of every object key. ``where`` may look at key columns only; it reaches the scans."""
+    state = latest(_changes(journal, object_changes, base and base.ledger, base, where, sqn), KEYS)
     return state if all_versions else state.filter(visible(now))
 
 
@@ -76,12 +94,10 @@ def heads(journal: DataFrame, *, where: Column | None = None, sqn: int | None =
     return latest(changes, KEYS).filter(visible(now))
 
 
-def index(journal: DataFrame, *, where: Column | None = None, sqn: int | None = None, now: int | None = None) -> DataFrame:
+def index(journal: DataFrame, *, where: Column | None = None, sqn: int | None = None, now: int | None = None, all_versions: bool = False, base: Base | None = None) -> DataFrame:
     """The visible postings. ``where`` may look at the columns of a posting only."""
-    changes = index_changes(as_of(journal, sqn))
-    if where is not None:
-        changes = changes.filter(where)
-    return latest(changes, ("tag", *POSTING)).filter(visible(now))
+    state = latest(_changes(journal, index_changes, base and base.index, base, where, sqn), ("tag", *POSTING))
+    return state if all_versions else state.filter(visible(now))
 
 
 def with_segment(state: DataFrame) -> DataFrame:

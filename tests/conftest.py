@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
 
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("checkpoints"))).getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.maxMetadataStringLength", "10000").config("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("checkpoints"))).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -70,6 +70,22 @@ def test_snapshot_and_runner(store):
         before.put("o", "b", "k", "v")
 
 
+def test_stored_state(store):
+    for i in range(6):
+        store.put("o", "b", f"k{i % 4}", f"v{i}", [("add", "f_int", i)])
+    assert store.stored() is None and store.settle() == 6 and store.stored().sqn == 6
+    early = Store(store.spark, store.path, now=store.now, at=3)
+    assert early.stored() is None and early.query("key_list", tag="o").count() == 3
+    store.delete("o", "b", "k0", [("remove", "f_int", 4)])
+    store.put("o", "b", "new", "n")
+    with_base, without = store._at(), store._when()
+    for ask in (lambda at: folds.key_list(store.journal(), "o", **at), lambda at: folds.index_range(store.journal(), "b", "f_int", 0, 9, **at), lambda at: folds.object_fold(store.journal(), "o", **at).select("key", "value"), lambda at: folds.object_fold(store.journal(), "o", order="sqn_order", **at).select("key", "value")):
+        assert rows(ask(with_base), "*") == rows(ask(without), "*")
+    assert store.settle() == 8 and store.stored().ledger.filter("is_tomb").count() == 1
+    plan = folds.key_list(store.journal(), "o", "b", start="k1", end="k2", base=store.stored())._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(sqn,8)" in plan and "GreaterThanOrEqual(key,k1)" in plan
+
+
 def test_head_only(spark, tmp_path):
     store = Store(spark, str(tmp_path / "heads"), head_only=True, now=Clock(GREGORIAN_EPOCH))
     store.mput([("add", "b", "k", "s1", "v1", [5, 9]), ("add", "b", "k", "s2", "v2"), ("add", "b", "k", "s1", "repeated")])
