@@ -52,10 +52,14 @@ def index_changes(journal: DataFrame) -> DataFrame:
 
 
 def latest(changes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The change of the highest sequence number of each key, by one partial aggregation."""
-    rest = [c for c in changes.columns if c not in keys]
-    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "sqn").alias("v"))
-    return newest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in rest])
+    """The change of the highest sequence number of each key; where one write both adds and removes a posting, the add.
+
+    Each column has an aggregate of its own, so what a query does not use is pruned down to the scan, and while only
+    numbers are left the aggregation is by hash, with map-side combining.
+    """
+    order = F.col("sqn") * 2 + F.when(F.col("is_tomb"), 0).otherwise(1)
+    rest = [c for c in changes.columns if c not in keys and c != "sqn"]
+    return changes.groupBy(*keys).agg(F.max("sqn").alias("sqn"), *[F.max_by(c, order).alias(c) for c in rest]).select(changes.columns)
 
 
 def visible(now: int | None) -> Column:

@@ -74,7 +74,7 @@ def _some_keys(s: SparkSession, d: str) -> DataFrame:
 _add("multi_get", lambda s, d: reads.multi_get(_e(s, d), _some_keys(s, d), now=NOW).select("bucket", "key", "sqn", "value"), "SELECT bucket, key, sqn, value FROM ev WHERE (bucket, key) IN (SELECT bucket, key FROM e WHERE sqn % 11 = 0)")
 _add("currency_check", lambda s, d: reads.currency(_e(s, d), _e(s, d).filter("sqn % 5 = 0").select("tag", "bucket", "key", F.col("sqn").alias("asked_sqn"))).select("bucket", "key", "asked_sqn", "status"), "SELECT e.bucket, e.key, e.sqn AS asked_sqn, CASE WHEN el.sqn IS NULL THEN 'missing' WHEN el.sqn > e.sqn THEN 'replaced' ELSE 'current' END AS status FROM e LEFT JOIN el ON e.bucket = el.bucket AND e.key = el.key WHERE e.sqn % 5 = 0")
 _add("tombstones_hidden", lambda s, d: state.ledger(_e(s, d)).select("bucket", "key", "sqn"), "SELECT bucket, key, sqn FROM el WHERE NOT is_tomb")
-_add("ttl_visible", lambda s, d: state.ledger(_e(s, d), now=NOW).select("bucket", "key", "sqn", "expires_at"), "SELECT bucket, key, sqn, expires_at FROM ev")
+_add("ttl_visible", lambda s, d: state.ledger(_e(s, d), now=NOW).select("bucket", "key", "sqn", F.coalesce("expires_at", F.lit(0).cast("long")).alias("expires_at")), "SELECT bucket, key, sqn, coalesce(expires_at, 0) AS expires_at FROM ev")
 _add("as_of_snapshot", lambda s, d: state.ledger(_e(s, d), sqn=_AT, now=NOW).select("bucket", "key", "sqn"), "SELECT bucket, key, sqn FROM es")
 _add("version_history", lambda s, d: folds.latest_versions(_e(s, d), 3).select("bucket", "key", "sqn", "jtype", "place"), "SELECT bucket, key, sqn, CASE WHEN is_tomb THEN 'tomb' ELSE 'stnd' END AS jtype, CAST(row_number() OVER (PARTITION BY bucket, key ORDER BY sqn DESC) AS INTEGER) AS place FROM e QUALIFY place <= 3")
 _add("head_lmd_range", lambda s, d: folds.head_fold(_e(s, d), "o_rkv", modified=(1_706_400_000, 1_706_600_000), now=NOW).select("bucket", "key", "lmd"), "SELECT bucket, key, lmd FROM ev WHERE lmd BETWEEN 1706400000 AND 1706600000")
@@ -120,7 +120,7 @@ _add("tree_merge", lambda s, d: merkle.merge(*[merkle.object_tree(state.ledger(_
 _add("tree_alter", lambda s, d: merkle.alter(merkle.object_tree(state.ledger(_o(s, d)), "xxsmall"), s.sql("SELECT * FROM VALUES (5, 99L), (6, 0L) AS t(segment, leaf)")), f"SELECT * FROM ({_tree_sql('xxsmall')}) WHERE segment NOT IN (5, 6) UNION ALL SELECT 5, 99")
 _add("segment_keys", lambda s, d: state.with_segment(state.ledger(_o(s, d))).filter(hashing.tree_segment(hashing.segment32(F.col("segment")), "xxsmall").isin(merkle.adjust_segments([3, 9], "xxsmall", "xxsmall"))).select("bucket", "key"), f"SELECT bucket, key FROM oh WHERE (({_SEG32}) & 4095) IN (3, 9)")
 _add("segment_resize", lambda s, d: state.with_segment(state.ledger(_o(s, d))).filter(hashing.tree_segment(hashing.segment32(F.col("segment")), "small").isin(merkle.adjust_segments([3, 9], "xsmall", "small"))).select("bucket", "key"), f"SELECT bucket, key FROM oh WHERE (({_SEG32}) & 16383) IN (3, 9)")
-_add("store_diff", lambda s, d: maintain.store_difference(state.ledger(_e(s, d), now=NOW), state.ledger(_e(s, d), sqn=_AT, now=NOW)), f"SELECT coalesce(a.bucket, b.bucket) AS bucket, coalesce(a.key, b.key) AS key, {_HEX('a.value', 1, 8)} AS in_a, {_HEX('b.value', 1, 8)} AS in_b FROM ev a FULL JOIN es b ON a.bucket = b.bucket AND a.key = b.key WHERE a.value IS DISTINCT FROM b.value")
+_add("store_diff", lambda s, d: maintain.store_difference(state.ledger(_e(s, d), now=NOW), state.ledger(_e(s, d), sqn=_AT, now=NOW)).fillna(-1, ["in_a", "in_b"]), f"SELECT coalesce(a.bucket, b.bucket) AS bucket, coalesce(a.key, b.key) AS key, coalesce({_HEX('a.value', 1, 8)}, -1) AS in_a, coalesce({_HEX('b.value', 1, 8)}, -1) AS in_b FROM ev a FULL JOIN es b ON a.bucket = b.bucket AND a.key = b.key WHERE a.value IS DISTINCT FROM b.value")
 _add("index_diff_recalc", lambda s, d: maintain.recalculate(tables.event_terms(s, d), "o_rkv").select("bucket", "key", "sqn", F.explode("index_specs").alias("x")).select("bucket", "key", "sqn", "x.op", F.col("x.term_i").alias("term")), """, v AS (SELECT *, CASE WHEN NOT is_tomb THEN term END AS new, lag(CASE WHEN NOT is_tomb THEN term END) OVER (PARTITION BY bucket, key ORDER BY sqn) AS old FROM e)
 SELECT bucket, key, sqn, 'add' AS op, new AS term FROM v WHERE new IS NOT NULL AND new IS DISTINCT FROM old UNION ALL SELECT bucket, key, sqn, 'remove', old FROM v WHERE old IS NOT NULL AND old IS DISTINCT FROM new""")
 _DECIDED = """, d AS (SELECT e.*, CASE WHEN el.sqn <= e.sqn OR e.sqn > 9000 THEN 'keep' WHEN NOT e.is_tomb THEN 'convert' ELSE 'keep' END AS decision FROM e JOIN el ON e.bucket = el.bucket AND e.key = el.key)
