@@ -357,12 +357,13 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     """Per row of documents: ident and class_id, the smallest identifier of its class (its own, if it has no duplicate).
 
     Equal texts are one class, and texts of a similarity of SIMILARITY or more are linked. A row with a null text or
-    a text without words is alone, but for equal texts; a null identifier has a null class. Repeated rows stay.
+    a text without words is alone, but for equal texts; a null identifier has a null class. Repeated rows stay. An
+    identifier should name one text; where it names several, its rows share one class.
     """
     base = materialize(sketches(docs, ident, text), "sketches")
     copies = base.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "rep")
-    member = materialize(base.join(copies, ["h1", "h2"], "left").select("id", F.coalesce("rep", "id").alias("rep")), "members").distinct()
-    reps = base.join(member.filter("id != rep").select("id").distinct(), "id", "left_anti").filter("bands IS NOT NULL")
+    member = materialize(base.join(copies, ["h1", "h2"], "left").groupBy("id").agg(F.min(F.coalesce("rep", "id")).alias("rep")), "members")
+    reps = base.join(member.filter("id != rep").select("id"), "id", "left_anti").filter("bands IS NOT NULL")
     rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.col("first") < F.col("last")).select("key")
     buckets = materialize(rows.join(shared, "key").select("key", "band", "id").distinct(), "buckets")
@@ -399,9 +400,13 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of documents without those whose class has a smaller identifier; of repeated rows one stays."""
+    """The rows of documents without those whose class has a smaller identifier; of rows with one identifier one stays.
+
+    Rows without an identifier all stay.
+    """
     classes = near_duplicates(docs, ident, text)
     dropped = classes.filter(F.col("class_id") < F.col(ident)).select(F.col(ident).alias("dropped_id")).distinct()
     kept = docs.join(dropped, docs[ident] == F.col("dropped_id"), "left_anti")
-    repeated = not classes.groupBy(ident).count().filter("count > 1").isEmpty()
-    return kept.dropDuplicates([ident]) if repeated else kept
+    named = F.col(ident).isNotNull()
+    repeated = not classes.filter(named).groupBy(ident).count().filter("count > 1").isEmpty()
+    return kept.filter(named).dropDuplicates([ident]).unionByName(kept.filter(~named)) if repeated else kept

@@ -141,8 +141,10 @@ def test_odd_documents(spark):
     rows = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1)] * 3 + [(2, "a b c d e f", "de", "t", 1), (None, "a b c d e f", "de", "t", 1), (3, None, None, None, None)], DOCS)
     got = sorted(map(tuple, near_dup.near_duplicates(rows).collect()), key=str)
     assert got == sorted([(1, 1)] * 3 + [(2, 1), (3, 3), (None, None)], key=str)
-    kept = near_dup.keep_one(rows.filter("doc_id IS NOT NULL"))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and kept.columns == rows.columns
+    kept = near_dup.keep_one(rows.unionAll(rows.filter("doc_id IS NULL")))
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, None, None] and kept.columns == rows.columns
+    several = spark.createDataFrame([(1, "a b c d e f", "", "", 1), (1, "g h i j k l", "", "", 1), (2, "g h i j k l", "", "", 1)], DOCS)
+    assert len(near_dup.near_duplicates(several).collect()) == 3
 
 
 def test_sketches_estimate_probability_jaccard():
