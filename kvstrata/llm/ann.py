@@ -1,9 +1,10 @@
 """Nearest neighbours by additive quantisation.
 
 A vector's direction is approximated by a sum of one codeword from each of several full-dimensional codebooks; its norm
-is stored beside the codes. Codebooks start as k-means of what earlier ones leave over and are then solved for
-jointly; codes are found by beam search. A query makes a table of its products with all codewords, scores all
-codes by adding up table entries, and the best of each batch are ranked again by exact products.
+is stored beside the codes. Codebooks start as k-means of what earlier ones leave over and are then fitted
+jointly by least squares, one after another; codes are found by beam search. A query makes a table of its products
+with all codewords, scores all codes by adding up table entries, and the best of each batch are ranked again by exact
+products.
 
 Every valid row is indexed. Queries go out in blocks of bounded size, each against all rows.
 """
@@ -22,7 +23,7 @@ from kvstrata.llm.common import materialize, ship
 #: Vectors from which the codebooks are learned, at most.
 SAMPLE = 16_384
 BOOKS, WORDS, BEAM = 16, 256, 4
-ROUNDS = 1
+ROUNDS, SWEEPS = 1, 3
 #: Candidates of each batch that are scored exactly, for each query.
 SHORTLIST = 320
 #: Queries sent out together, about; indexed vectors of one task, about.
@@ -45,8 +46,13 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
-    """Codes (n, books) of the sums that come nearest, keeping ``beam`` partial sums from book to book."""
-    n, (m, k, d) = len(x), books.shape
+    """Codes (n, books) of the sums that come nearest, keeping ``beam`` partial sums from book to book; 1,024 rows at a time."""
+    parts = [_encode(x[a : a + 1024], books, beam) for a in range(0, len(x), 1024)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(books)), np.uint8)
+
+
+def _encode(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
+    n, (_, k, d) = len(x), books.shape
     rest, codes = x[:, None, :].astype(np.float32), np.zeros((n, 1, 0), np.uint8 if k <= 256 else np.uint16)
     for book in books.astype(np.float32):
         width = rest.shape[1]
@@ -70,15 +76,17 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = R
         rest = rest - centres[np.argmin((centres**2).sum(1) - 2 * rest @ centres.T, axis=1)]
         found.append(centres)
     out = np.stack(found)
-    for _ in range(rounds):  # with the codes held, the best codebooks are a least-squares solution
-        codes = encode(x, out).astype(np.int64) + np.arange(books) * k
-        gram, right = np.zeros((books * k, books * k)), np.zeros((books * k, d))
-        for a in range(books):
-            np.add.at(right, codes[:, a], x)
-            for b in range(books):
-                np.add.at(gram, (codes[:, a], codes[:, b]), 1.0)
-        gram[np.diag_indices_from(gram)] += 1e-2
-        out = np.linalg.solve(gram, right + 1e-2 * out.reshape(books * k, d)).reshape(books, k, d)
+    for _ in range(rounds):
+        codes = encode(x, out).astype(np.int64)
+        rest = x - sum(out[j][codes[:, j]] for j in range(books))
+        for _ in range(SWEEPS):  # with the codes held, the least-squares codewords of one book are means of what the others leave
+            for j in range(books):
+                rest += out[j][codes[:, j]]
+                counts, sums = np.bincount(codes[:, j], minlength=k), np.zeros((k, d))
+                np.add.at(sums, codes[:, j], rest)
+                used = counts > 0
+                out[j][used] = sums[used] / counts[used, None]
+                rest -= out[j][codes[:, j]]
     return out.astype(np.float32)
 
 
@@ -132,7 +140,7 @@ def build(df: DataFrame, ident: str, vec: str) -> tuple[DataFrame, np.ndarray] |
         for batch in batches:
             v = _matrix(batch.column(1), d)
             norms = np.linalg.norm(v, axis=1)
-            codes = np.concatenate([encode(v[a : a + 1024] / norms[a : a + 1024, None], shared.value) for a in range(0, len(v), 1024)] or [np.zeros((0, BOOKS), np.uint8)])
+            codes = encode(v / norms[:, None], shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["id", "vec", "codes", "norm"])
 
     return materialize(rows.filter(F.size("vec") == d).mapInArrow(run, "id long, vec array<double>, codes binary, norm double"), "index"), books
