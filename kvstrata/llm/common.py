@@ -16,8 +16,10 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """The table of that name under ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """The table of that name under ``sf_dir``, dealt out anew if its scan has fewer tasks than there are cores."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()  # of a plain scan, which this does not run
+    return df.repartition(cores) if tasks < cores else df
 
 
 def scratch_dir(spark: SparkSession) -> str:
