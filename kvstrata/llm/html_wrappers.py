@@ -6,12 +6,14 @@ that repeats itself becomes a repeated group. The outcome is a wrapper: literal
 ``( )+``. Streams are folded to their groups first, so a host has few different ones however many pages it has; those
 are counted before any shuffle, aligned in shares, and the shares' wrappers are aligned in turn.
 
-Extraction matches a page with its host's wrapper and takes the slots that lie in its content: within ``article`` or
-``main``, else the region of the wrapper with the most text in slots. A fixed text is content in the first case only.
+Beside the wrapper, texts are counted: one that stands under the same path in most different pages of its host, two at
+least, is fixed. Pages that agree in all text outside of noise are one page here, so copies fix nothing. Without
+``article`` or ``main`` all text that is neither noise nor fixed is content, in whatever region it lies.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -223,6 +225,7 @@ def infer(streams: Iterator[list[list]]) -> list[list]:
     return wrapper or []
 
 
+@lru_cache(1 << 14)
 def _role(path: str) -> str:
     """Whether a path lies in content, in something that is never content, or in neither."""
     role = "open"
@@ -235,36 +238,22 @@ def _role(path: str) -> str:
     return role
 
 
-def _leaves(items: list[list]) -> Iterator[list]:
-    for x in items:
-        if x[0] in "+?":
-            yield from _leaves(x[1])
-        else:
-            yield x
+def mark(*parts: str) -> int:
+    """A 64-bit hash of strings, the same in every process."""
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def rules(wrapper: list[list]) -> tuple[dict[str, str], set[tuple[str, str]]]:
-    """The role of each path of the wrapper, and its fixed texts outside of content."""
-    leaves = list(_leaves(wrapper))
-    roles = {x[0]: _role(x[0]) for x in leaves}
-    fixed = {(x[0], x[1]) for x in leaves if x[1] != SLOT and roles[x[0]] != "content"}
-    return roles, fixed
+def texts(found: list[tuple[str, str]]) -> list[int]:
+    """What a page says outside of noise: the hashes of path and text, in page order."""
+    return [mark(path, text) for path, text in found if _role(path) != "noise"]
 
 
-def extract(found: list[tuple[str, str]], roles: dict[str, str], fixed: set[tuple[str, str]], several: bool) -> str:
-    """The main text of a page's blocks under its host's wrapper, which holds if ``several`` pages made it."""
-    kinds = [roles.get(path) or _role(path) for path, _ in found]
+def extract(found: list[tuple[str, str]], fixed: frozenset[int]) -> str:
+    """The main text of a page's blocks, where ``fixed`` holds the hashes of its host's fixed texts."""
+    kinds = [_role(path) for path, _ in found]
     if "content" in kinds:
         return "\n".join(text for kind, (_, text) in zip(kinds, found, strict=True) if kind == "content")
-    rest = [(path, text) for kind, (path, text) in zip(kinds, found, strict=True) if kind == "open" and not (several and (path, text) in fixed)]
-    size: dict[str, int] = {}
-    for path, text in rest:
-        above = path.rpartition("/")[0]
-        size[above] = size.get(above, 0) + len(text)
-    if not size:
-        return ""
-    best = max(size, key=lambda p: (size[p], -len(p)))
-    return "\n".join(text for path, text in rest if path.rpartition("/")[0].startswith(best))
+    return "\n".join(text for kind, (path, text) in zip(kinds, found, strict=True) if kind == "open" and not (fixed and mark(path, text) in fixed))
 
 
 def host(url: Column) -> Column:
@@ -273,20 +262,25 @@ def host(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) and n_pages for every host of pages (url, html)."""
+    """host, wrapper (JSON), n_pages and fixed (hashes of the fixed texts) for every host of pages (url, html)."""
     ship(pages.sparkSession)
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # equal streams of a host within a batch are one row; their differing texts are slots already
             seen: dict[tuple[str, str], list] = {}
+            said: dict[tuple[str, int], list[int]] = {}
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = stream(blocks(page or ""))
+                found = blocks(page or "")
+                s = stream(found)
                 key = (h, json.dumps([_key(x) for x in s]))
                 known = seen.get(key)
                 seen[key] = [[_join(x, y) for x, y in zip(known[0], s, strict=True)], known[1] + 1] if known else [s, 1]
-            rows = [(h, json.dumps(s), n) for (h, _), (s, n) in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "stream", "n"])
+                own = texts(found)
+                if own:
+                    said[h, mark(*map(str, own))] = sorted(set(own))
+            rows = [(h, json.dumps(s), n, None, None) for (h, _), (s, n) in seen.items()] + [(h, None, None, page, own) for (h, page), own in said.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["host", "stream", "n", "page", "texts"])
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         # most pages first, so that what is common shapes the wrapper
@@ -295,11 +289,18 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": frame["host"].iloc[:1].to_numpy(), "stream": [json.dumps(wrapper)], "n": [int(frame["n"].sum())]})
 
     schema = "host string, stream string, n long"
-    each = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(streams, schema)
-    each = each.groupBy("host", "stream").agg(F.sum("n").alias("n"))
+    rows = materialize(pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(streams, schema + ", page long, texts array<long>"), "streams")
+    each = rows.filter(F.col("stream").isNotNull()).groupBy("host", "stream").agg(F.sum("n").alias("n"))
     share = each.withColumn("share", F.pmod(F.xxhash64("stream"), F.lit(SHARE)))
     partial = share.groupBy("host", "share").applyInPandas(lambda f: merge(f), schema)
-    return partial.groupBy("host").applyInPandas(merge, schema).select("host", F.col("stream").alias("wrapper"), F.col("n").alias("n_pages"))
+    merged = partial.groupBy("host").applyInPandas(merge, schema)
+    different = rows.filter(F.col("page").isNotNull()).select("host", "page", "texts").dropDuplicates(["host", "page"])
+    # a page is the text null here, so one aggregation counts both the pages and the texts of a host
+    counts = different.select("host", F.explode(F.concat("texts", F.array(F.lit(None).cast("long")))).alias("text")).groupBy("host", "text").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.filter(F.col("text").isNull()).select("host", F.col("n").alias("pages"))
+    often = counts.filter(F.col("text").isNotNull() & (F.col("n") >= 2)).join(total, "host").filter(F.col("n") * 2 > F.col("pages"))
+    fixed = often.groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("fixed"))
+    return merged.join(fixed, "host", "left").select("host", F.col("stream").alias("wrapper"), F.col("n").alias("n_pages"), "fixed")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -310,19 +311,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", "url", "html")
     found = materialize(wrappers(rows), "wrappers")
-    size = found.agg(F.sum(F.length("wrapper") + 64)).first()[0] or 0
-    found = found.select(F.col("host").alias("w_host"), "wrapper", "n_pages")
+    size = found.agg(F.sum(F.length("wrapper") + 8 * F.coalesce(F.size("fixed"), F.lit(0)) + 64)).first()[0] or 0
+    found = found.select(F.col("host").alias("w_host"), "wrapper", "fixed")
     keyed = rows.withColumn("host", host(F.col("url")))
-    joined = keyed.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "html", "wrapper", "n_pages")
+    joined = keyed.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "html", "wrapper", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(1024)(lambda w: rules(json.loads(w)))
         for batch in batches:
-            texts = []
-            for page, wrapper, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                roles, fixed = known(wrapper or "[]")
-                texts.append(extract(blocks(page or ""), roles, fixed, (n or 0) > 2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            out = [extract(blocks(page or ""), frozenset(fixed or ())) for page, fixed in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

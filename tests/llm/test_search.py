@@ -197,6 +197,15 @@ def test_wrapper_without_article(spark):
     assert text_of(spark, pages) == {i: f"Own words of page number {i}, which go on for a while.\nAnd more {i}." for i in range(6)}
 
 
+def test_fixed_texts_need_most_different_pages(spark):
+    """A block of one page only, the text of copies, and a second region of text stay."""
+    body = "<html><body><div id='top'><p>Always the same line</p></div><div id='text'><h1>Title {0}</h1><p>Own words of page number {0}.</p>{1}</div><div id='more'><p>Second region {0}</p></div></body></html>"
+    pages = [(i, f"http://plain.org/{i}", body.format(i, "<blockquote>Only here</blockquote>" if i == 2 else "")) for i in range(6)]
+    pages += [(10 + i, f"http://copies.org/{i}", "<html><body><h1>Copied title</h1><p>Copied text</p></body></html>") for i in range(4)]
+    expected = {i: f"Title {i}\nOwn words of page number {i}." + ("\nOnly here" if i == 2 else "") + f"\nSecond region {i}" for i in range(6)}
+    assert text_of(spark, pages) == expected | {10 + i: "Copied title\nCopied text" for i in range(4)}
+
+
 def test_alignment():
     a = html_wrappers.stream([("p", "x"), ("div", "same"), ("li", "1"), ("li", "2"), ("li", "3")])
     b = html_wrappers.stream([("div", "same"), ("li", "4"), ("h1", "t")])
