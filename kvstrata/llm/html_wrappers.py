@@ -7,8 +7,11 @@ that repeats itself becomes a repeated group. The outcome is a wrapper: literal
 are counted before any shuffle, aligned in shares, and the shares' wrappers are aligned in turn.
 
 Beside the wrapper, texts are counted: one that stands under the same path in most different pages of its host, two at
-least, is fixed. Pages that agree in all text outside of noise are one page here, so copies fix nothing. Without
-``article`` or ``main`` all text that is neither noise nor fixed is content, in whatever region it lies.
+least, is fixed. Pages that agree in all text outside of noise are one page here, so copies fix nothing.
+
+Extraction matches a page with its host's wrapper. Within ``article`` or ``main`` the text of slots and repeated groups is
+content, and a fixed text in a place of its own is not. Without these elements all text that is neither noise nor fixed is
+content, in whatever region it lies.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ import hashlib
 import html
 import json
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import pandas as pd
 import pyarrow as pa
@@ -126,10 +129,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def fold(items: list[list]) -> list[list]:
+def fold(items: list[list], spans: list[int] | None = None) -> list[list]:
     """A stream with every run of equal neighbouring stretches folded into one repeated group.
 
-    An item is [key, text] or ["+", items]; short stretches go first, and a folded stream is folded again.
+    An item is [key, text] or ["+", items]; short stretches go first, and a folded stream is folded again. ``spans``, the
+    number of blocks of each item, is kept up.
     """
     while True:
         changed = False
@@ -145,6 +149,8 @@ def fold(items: list[list]) -> list[list]:
                     continue
                 body = [_slotted(x) for x in items[i : i + size]]
                 items[i : i + n * size] = [["+", body]]
+                if spans is not None:
+                    spans[i : i + n * size] = [sum(spans[i : i + n * size])]
                 keys[i : i + n * size] = [json.dumps(_key(["+", body]))]
                 changed = True
                 i += 1
@@ -206,16 +212,26 @@ def align(a: list[list], b: list[list]) -> list[list]:
     out, i, j = [], 0, 0
     for x, y in [*_pairs(a, b), (len(a), len(b))]:
         for part in (a[i:x], b[j:y]):
-            out += [p if p[0] == "?" else ["?", _bare(p)] if p[0] == "+" and len(part) == 1 else ["?", [p]] if p[0] not in "+?" else p for p in part]
+            out += [p if p[0] in "+?" else ["?", [p]] for p in part]
         if x < len(a):
             out.append(_join(a[x], b[y]))
         i, j = x + 1, y + 1
     return out
 
 
-def stream(found: list[tuple[str, str]]) -> list[list]:
+def stream(found: list[tuple[str, str]], spans: list[int] | None = None) -> list[list]:
     """The folded stream of a page's blocks, by their paths."""
-    return fold([[path or "-", text if len(text) <= 200 else SLOT] for path, text in found])
+    return fold([[path or "-", text if len(text) <= 200 else SLOT] for path, text in found], spans)
+
+
+def alone(paths: tuple[str, ...], wrapper: str) -> list[bool]:
+    """For each block of a page whether it has a place of its own in the wrapper (JSON), and is in no repeated group."""
+    spans = [1] * len(paths)
+    own, items = stream([(path, SLOT) for path in paths], spans), json.loads(wrapper)
+    single = [False] * len(own)
+    for x, y in _pairs(items, own):
+        single[y] = items[x][0] != "+" and own[y][0] != "+"
+    return [one for one, n in zip(single, spans, strict=True) for _ in range(n)]
 
 
 def infer(streams: Iterator[list[list]]) -> list[list]:
@@ -248,12 +264,17 @@ def texts(found: list[tuple[str, str]]) -> list[int]:
     return [mark(path, text) for path, text in found if _role(path) != "noise"]
 
 
-def extract(found: list[tuple[str, str]], fixed: frozenset[int]) -> str:
-    """The main text of a page's blocks, where ``fixed`` holds the hashes of its host's fixed texts."""
+def extract(found: list[tuple[str, str]], fixed: frozenset[int], places: Callable[[tuple[str, ...]], list[bool]]) -> str:
+    """The main text of a page's blocks.
+
+    ``fixed`` holds the hashes of its host's fixed texts, ``places`` says which blocks have a place of their own.
+    """
     kinds = [_role(path) for path, _ in found]
-    if "content" in kinds:
-        return "\n".join(text for kind, (_, text) in zip(kinds, found, strict=True) if kind == "content")
-    return "\n".join(text for kind, (path, text) in zip(kinds, found, strict=True) if kind == "open" and not (fixed and mark(path, text) in fixed))
+    region = "content" if "content" in kinds else "open"
+    drop = [bool(fixed) and kind == region and mark(*block) in fixed for kind, block in zip(kinds, found, strict=True)]
+    if region == "content" and any(drop):
+        drop = [x and y for x, y in zip(drop, places(tuple(path for path, _ in found)), strict=True)]
+    return "\n".join(text for kind, out, (_, text) in zip(kinds, drop, found, strict=True) if kind == region and not out)
 
 
 def host(url: Column) -> Column:
@@ -292,8 +313,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     rows = materialize(pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(streams, schema + ", page long, texts array<long>"), "streams")
     each = rows.filter(F.col("stream").isNotNull()).groupBy("host", "stream").agg(F.sum("n").alias("n"))
     share = each.withColumn("share", F.pmod(F.xxhash64("stream"), F.lit(SHARE)))
-    partial = share.groupBy("host", "share").applyInPandas(lambda f: merge(f), schema)
-    merged = partial.groupBy("host").applyInPandas(merge, schema)
+    parts = share.groupBy("host", "share").applyInPandas(lambda f: merge(f), schema)
+    merged = parts.groupBy("host").applyInPandas(merge, schema)
     different = rows.filter(F.col("page").isNotNull()).select("host", "page", "texts").dropDuplicates(["host", "page"])
     # a page is the text null here, so one aggregation counts both the pages and the texts of a host
     counts = different.select("host", F.explode(F.concat("texts", F.array(F.lit(None).cast("long")))).alias("text")).groupBy("host", "text").agg(F.count(F.lit(1)).alias("n"))
@@ -317,8 +338,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     joined = keyed.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "html", "wrapper", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(4096)(alone)  # pages of a host have few different streams
         for batch in batches:
-            out = [extract(blocks(page or ""), frozenset(fixed or ())) for page, fixed in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            columns = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            out = [extract(blocks(page or ""), frozenset(fixed or ()), partial(known, wrapper=wrapper or "[]")) for page, wrapper, fixed in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     kind = rows.schema["page_id"].dataType.simpleString()

@@ -206,6 +206,13 @@ def test_fixed_texts_need_most_different_pages(spark):
     assert text_of(spark, pages) == expected | {10 + i: "Copied title\nCopied text" for i in range(4)}
 
 
+def test_fixed_text_within_article(spark):
+    """Inside of article a line in a place of its own that the host's pages share is no content; texts of a repeated group stay."""
+    body = "<article><h1>Title {0}</h1><div class='x'>Read this in our app</div><p>First {0}</p><p>The same for all</p></article>"
+    pages = [(i, f"http://host.org/{i}", body.format(i) if i else "<article><h1>Title 0</h1><p>The same for all</p></article>") for i in range(6)]
+    assert text_of(spark, pages) == {i: f"Title {i}\n" + (f"First {i}\n" if i else "") + "The same for all" for i in range(6)}
+
+
 def test_alignment():
     a = html_wrappers.stream([("p", "x"), ("div", "same"), ("li", "1"), ("li", "2"), ("li", "3")])
     b = html_wrappers.stream([("div", "same"), ("li", "4"), ("h1", "t")])
