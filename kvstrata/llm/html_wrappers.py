@@ -42,11 +42,13 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 #: Elements that end a block of text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Words in a class, id or role that mark an element as no content.
-_NOISE = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|share|sharing|side-?bar|social|sponsor\w*|subscribe|widget)(?:$|[^a-z])", re.I)
+#: Whole classes, ids and roles that mark an element as no content.
+_NOISE = re.compile(r"ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|share|sharing|side-?bar|social|sponsor\w*|subscribe|widget", re.I)
+#: Elements whose id says what they are for; that of others is mostly made from a heading.
+_NAMED = frozenset("div ol table ul".split())
 _CONTENT = frozenset(("article", "main"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 TEXT, SLOT = "#", "*"
 
@@ -68,8 +70,7 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
         if m[1]:
             out.append(("close", name, ""))
             continue
-        marks = " ".join(x or y or z for _, x, y, z in _ATTRIBUTE.findall(m[3])) if m[3] else ""
-        out.append(("open", name, marks))
+        out.append(("open", name, _marks(name, m[3]) if m[3] else ""))
         if name in _RAW and not m[3].endswith("/"):
             stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = stop.end() if stop else end
@@ -77,6 +78,13 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def _marks(name: str, attributes: str) -> str:
+    """Classes, roles and ids of an element; an id counts where it names a purpose."""
+    found = [(key.lower(), x or y or z) for key, x, y, z in _ATTRIBUTE.findall(attributes)]
+    kept = [value for key, value in found if key in ("class", "role") or key == "id" and (name in _NAMED or value.lower() == "main")]
+    return " ".join(" ".join(kept).replace("/", "|").split())
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
     """Blocks of text in page order: (path, text), where the path names the open elements and their marks.
 
@@ -249,7 +257,7 @@ def _role(path: str) -> str:
         name, _, marks = step.partition(".")
         if name in _CONTENT or marks.lower() == "main":
             role = "content"
-        elif name in SKIPPED or name == "title" or (marks and _NOISE.search(marks)):
+        elif name in SKIPPED or name == "title" or any(_NOISE.fullmatch(x) for x in marks.split()):
             return "noise"
     return role
 

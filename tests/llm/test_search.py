@@ -213,6 +213,12 @@ def test_fixed_text_within_article(spark):
     assert text_of(spark, pages) == {i: f"Title {i}\n" + (f"First {i}\n" if i else "") + "The same for all" for i in range(6)}
 
 
+def test_slugs_are_no_noise(spark):
+    """An id or class that only contains a telling word, and an attribute that only ends like one, drop nothing; whole classes do."""
+    body = "<article class='w-1/2 x'><h2 id='related-work'>A</h2><h2 id='comments'>B</h2><section id='social-policy'><p id='share-prices'>C</p></section><div class='header-compression'>D</div><div data-id='menu'>E</div><div title='a class=menu'>F</div><div class='x share'>no</div><div id=menu>no</div></article>"
+    assert text_of(spark, [(1, "http://s.org", body)]) == {1: "A\nB\nC\nD\nE\nF"}
+
+
 def test_alignment():
     a = html_wrappers.stream([("p", "x"), ("div", "same"), ("li", "1"), ("li", "2"), ("li", "3")])
     b = html_wrappers.stream([("div", "same"), ("li", "4"), ("h1", "t")])
