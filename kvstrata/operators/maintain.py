@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvstrata.functions import tags
-from kvstrata.operators.state import KEYS, as_of, latest, object_changes
+from kvstrata.operators.state import KEYS, as_of, key_changes, latest
 from kvstrata.sources.journal import SPECS, read_journal, write_journal
 
 
@@ -79,7 +79,7 @@ def recalculate(journal: DataFrame, tag: str) -> DataFrame:
 
 def replay(journal: DataFrame, state: DataFrame, after: int) -> DataFrame:
     """The ledger (all versions resolved) from a stored one and the records after its last sequence number."""
-    changes = object_changes(journal.filter(F.col("sqn") > after))
+    changes = key_changes(journal.filter(F.col("sqn") > after))
     return latest(state.select(changes.columns).unionByName(changes), KEYS)
 
 

@@ -45,6 +45,11 @@ def head_changes(journal: DataFrame) -> DataFrame:
     return once.select(*KEYS, "sqn", (F.col("s.op") == "remove").alias("is_tomb"), "expires_at", F.array_max("s.lmds").alias("lmd"), hashing.value_hash(F.col("s.value")).alias("hash"), F.length("s.value").cast("long").alias("size"), F.lit(None).cast("map<string,string>").alias("user_md"), F.col("s.value").alias("value"))
 
 
+def key_changes(journal: DataFrame) -> DataFrame:
+    """The changes of objects and of heads, without the values of heads."""
+    return object_changes(journal).unionByName(head_changes(journal).drop("value"))
+
+
 def index_changes(journal: DataFrame) -> DataFrame:
     """One row per index spec: posting, sqn, is_tomb (of a remove), expires_at."""
     rows = journal.filter(F.col("jtype").isin("stnd", "tomb", "keyd")).select("tag", "bucket_type", "bucket", "key", "sqn", "expires_at", F.explode("index_specs").alias("s"))
@@ -85,8 +90,8 @@ def _changes(journal: DataFrame, of, stored: DataFrame | None, base: Base | None
 
 
 def ledger(journal: DataFrame, *, where: Column | None = None, sqn: int | None = None, now: int | None = None, all_versions: bool = False, base: Base | None = None) -> DataFrame:
-    """The visible state of every object key. ``where`` may look at key columns only; it reaches the scans."""
-    state = latest(_changes(journal, object_changes, base and base.ledger, base, where, sqn), KEYS)
+    """The visible state of every key, of objects and heads. ``where`` may look at key columns only; it reaches the scans."""
+    state = latest(_changes(journal, key_changes, base and base.ledger, base, where, sqn), KEYS)
     return state if all_versions else state.filter(visible(now))
 
 

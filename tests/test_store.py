@@ -100,6 +100,27 @@ def test_head_only(spark, tmp_path):
         Store(spark, str(tmp_path / "x")).mput([])
 
 
+def test_folds_of_heads(spark, tmp_path):
+    """Folds, trees and is_empty see the heads of a head-only store, also over a stored state."""
+    store = Store(spark, str(tmp_path / "folded"), head_only=True, now=Clock(GREGORIAN_EPOCH))
+    store.mput([("add", b, f"k{i}", None, f"v{i}", [i]) for b in ("a", "b", "c") for i in range(4)])
+    store.mput([("remove", "a", "k0", None, None)])
+    left = [(b, f"k{i}") for b in ("a", "b", "c") for i in range(4) if (b, i) != ("a", 0)]
+    for settled in (False, True):
+        if settled:
+            store.settle()
+            store.mput([("add", "c", "k9", None, "v9")])
+            left.append(("c", "k9"))
+        assert rows(store.query("head_fold", tag="h"), "bucket", "key") == left == rows(store.query("key_list", tag="h"), "bucket", "key")
+        assert rows(store.query("head_fold", tag="h", buckets=["a", "b"], modified=(2, 9)), "bucket", "key") == [(b, k) for b, k in left if b < "c" and k > "k1"]
+        assert rows(store.query("head_fold", tag="h", max_count=5), "bucket", "key") == left[:5]
+        segment = state.with_segment(store.query("head_fold", tag="h", buckets=["b"])).filter("key = 'k2'").select("segment.seg16").first()[0]
+        assert ("b", "k2") in rows(store.query("head_fold", tag="h", segments=[segment]), "bucket", "key")
+        assert rows(store.query("bucket_stats", tag="h"), "bucket", "n_objects") == [(b, sum(x == b for x, _ in left)) for b in "abc"]
+        assert store.query("hash_list", tag="h").count() == len(left) and store.query("object_tree").count() > 0
+        assert not store.is_empty("h") and store.is_empty("o")
+
+
 def many(spark, n, **more):
     rows = spark.range(1, n + 1).select(F.col("id").alias("sqn"), F.lit("o").alias("tag"), (F.col("id") % 3).cast("string").alias("bucket"), F.lpad(F.col("id").cast("string"), 6, "0").alias("key"), F.concat(F.lit("v"), "id").alias("value"), F.when(F.col("id") % 4 > 0, F.col("id") * 10).alias("lmd"))
     for c, v in more.items():
