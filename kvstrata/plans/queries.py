@@ -71,8 +71,15 @@ def _some_keys(s: SparkSession, d: str) -> DataFrame:
     return _e(s, d).filter("sqn % 11 = 0").select("tag", "bucket", "key")
 
 
+def _customer_keys(s: SparkSession, d: str) -> DataFrame:
+    customers = s.read.parquet(f"{d}/customer.parquet")
+    return customers.select(F.lit("o_rkv").alias("tag"), F.lit("purchase").alias("bucket"), F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("key"))
+
+
 _add("multi_get", lambda s, d: reads.multi_get(_e(s, d), _some_keys(s, d), now=NOW).select("bucket", "key", "sqn", "value"), "SELECT bucket, key, sqn, value FROM ev WHERE (bucket, key) IN (SELECT bucket, key FROM e WHERE sqn % 11 = 0)")
 _add("currency_check", lambda s, d: reads.currency(_e(s, d), _e(s, d).filter("sqn % 5 = 0").select("tag", "bucket", "key", F.col("sqn").alias("asked_sqn"))).select("bucket", "key", "asked_sqn", "status"), "SELECT e.bucket, e.key, e.sqn AS asked_sqn, CASE WHEN el.sqn IS NULL THEN 'missing' WHEN el.sqn > e.sqn THEN 'replaced' ELSE 'current' END AS status FROM e LEFT JOIN el ON e.bucket = el.bucket AND e.key = el.key WHERE e.sqn % 5 = 0")
+_add("multi_get_customers", lambda s, d: reads.multi_get(_e(s, d), _customer_keys(s, d), now=NOW).select("bucket", "key", "sqn", "value"), "SELECT bucket, key, sqn, value FROM ev WHERE (bucket, key) IN (SELECT 'purchase', lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer)")
+_add("currency_check_all", lambda s, d: reads.currency(_e(s, d), _e(s, d).select("tag", "bucket", "key", F.col("sqn").alias("asked_sqn"))).select("bucket", "key", "asked_sqn", "status"), "SELECT e.bucket, e.key, e.sqn AS asked_sqn, CASE WHEN el.sqn IS NULL THEN 'missing' WHEN el.sqn > e.sqn THEN 'replaced' ELSE 'current' END AS status FROM e LEFT JOIN el ON e.bucket = el.bucket AND e.key = el.key")
 _add("tombstones_hidden", lambda s, d: state.ledger(_e(s, d)).select("bucket", "key", "sqn"), "SELECT bucket, key, sqn FROM el WHERE NOT is_tomb")
 _add("ttl_visible", lambda s, d: state.ledger(_e(s, d), now=NOW).select("bucket", "key", "sqn", F.coalesce("expires_at", F.lit(0).cast("long")).alias("expires_at")), "SELECT bucket, key, sqn, coalesce(expires_at, 0) AS expires_at FROM ev")
 _add("as_of_snapshot", lambda s, d: state.ledger(_e(s, d), sqn=_AT, now=NOW).select("bucket", "key", "sqn"), "SELECT bucket, key, sqn FROM es")
@@ -134,6 +141,7 @@ _add("reap_ledger", lambda s, d: maintain.reap(state.ledger(_e(s, d), all_versio
 _add("trim_journal", lambda s, d: maintain.trim(tables.customers(s, d), 1).select("sqn", F.explode("object_specs").alias("x")).select("sqn", "x.op", "x.key"), "SELECT CAST(2 AS BIGINT) AS sqn, 'remove' AS op, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer WHERE c_custkey % 9 = 0")
 _add("heads_latest", lambda s, d: state.heads(tables.customers(s, d)).select("bucket", "key", "value"), "SELECT bucket, key, value FROM h")
 _add("heads_subkeys", lambda s, d: state.heads(tables.turns(s, d), where=F.col("key") <= "00000050").select("bucket", "key", "subkey", "lmd", "size"), "SELECT role AS bucket, lpad(CAST(conv_id AS VARCHAR), 8, '0') AS key, lpad(CAST(turn AS VARCHAR), 4, '0') AS subkey, greatest(conv_id, turn) AS lmd, length(text) AS size FROM conversations WHERE conv_id <= 50")
+_add("heads_subkeys_all", lambda s, d: state.heads(tables.turns(s, d)).select("bucket", "key", "subkey", "lmd", "size"), "SELECT role AS bucket, lpad(CAST(conv_id AS VARCHAR), 8, '0') AS key, lpad(CAST(turn AS VARCHAR), 4, '0') AS subkey, greatest(conv_id, turn) AS lmd, length(text) AS size FROM conversations")
 _add("heads_xor_count", lambda s, d: folds.aggregate(state.heads(tables.customers(s, d)), "xor_count", ("bucket",), F.col("hash")), f'SELECT bucket, bit_xor({_HEX("value", 1, 8)}) AS "xor", count(*) AS count FROM h GROUP BY bucket')
 _add("sibling_terms", lambda s, d: _e(s, d).groupBy("bucket", "key").agg(F.collect_list(F.struct((F.col("jtype") == "tomb").alias("deleted"), F.transform("index_specs", lambda x: x["term_i"]).alias("index"))).alias("siblings")).select("bucket", "key", F.explode(tags.sibling_terms(F.col("siblings"))).alias("term")), "SELECT DISTINCT bucket, key, term FROM e WHERE NOT is_tomb")
 
