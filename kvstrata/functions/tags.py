@@ -60,6 +60,28 @@ def register(tag: str, **functions) -> TagSpec:
     return _REGISTRY[tag]
 
 
+def registered() -> list[TagSpec]:
+    return list(_REGISTRY.values())
+
+
+def _by_tag(tag: Column, default: Column, own: dict[str, Column]) -> Column:
+    """The column of each row's tag; only tags with functions of their own add a case."""
+    for name, column in own.items():
+        default = F.when(tag == name, column).otherwise(default)
+    return default
+
+
+def canonical_keys(tag: Column, *parts: Column) -> Column:
+    """The canonical key of rows of any tags."""
+    return _by_tag(tag, plain_key(*parts), {s.tag: s.canonical_key(*parts) for s in registered() if s.canonical_key is not plain_key})
+
+
+def heads_of_values(tag: Column, value: Column, user_md: Column) -> Column:
+    """The head, struct(hash, size, user_md), of values of any tags."""
+    own = {s.tag: s.build_head(s.extract_metadata(value, user_md)) for s in registered() if s.extract_metadata is not value_metadata or s.build_head is not build_head}
+    return _by_tag(tag, value_metadata(value, user_md), own)
+
+
 def sibling_terms(siblings: Column) -> Column:
     """The index terms of all siblings that are not deleted, each once."""
     return F.array_distinct(F.flatten(F.transform(F.filter(siblings, lambda s: ~F.coalesce(s["deleted"], F.lit(False))), lambda s: s["index"])))

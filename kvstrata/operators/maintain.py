@@ -17,7 +17,7 @@ def decisions(journal: DataFrame, *, strategies: dict[str, str] | None = None, p
     a tag under ``retain`` converts objects and keeps other records; ``recovr`` and ``recalc`` discard. Batches of
     heads follow their tag like other records and are never current by key.
     """
-    strategies = {t: tags.spec(t).strategy for t in (tags.STANDARD, tags.SIBLINGS, tags.HEAD_ONLY)} | (strategies or {})
+    strategies = {s.tag: s.strategy for s in tags.registered()} | (strategies or {})
     newest = journal.filter(F.col("jtype").isin("stnd", "tomb")).groupBy(*KEYS).agg(F.max("sqn").alias("newest"))
     same = F.expr(" AND ".join(f"j.{k} <=> n.{k}" for k in KEYS))
     joined = journal.alias("j").join(newest.alias("n"), same, "left").select("j.*", "n.newest")

@@ -26,7 +26,7 @@ def tree(rows: DataFrame, size: str, key: Column, of_value: Column) -> DataFrame
 
 def object_tree(state: DataFrame, size: str = "small") -> DataFrame:
     """The tree of heads by their object hashes."""
-    return tree(state, size, tags.plain_key(*[F.col(k) for k in KEYS[1:]]), F.col("hash"))
+    return tree(state, size, tags.canonical_keys(F.col("tag"), *[F.col(k) for k in KEYS[1:]]), F.col("hash"))
 
 
 def index_tree(postings: DataFrame, size: str = "small") -> DataFrame:

@@ -33,7 +33,7 @@ def as_of(journal: DataFrame, sqn: int | None) -> DataFrame:
 
 def object_changes(journal: DataFrame) -> DataFrame:
     """One row per object write or delete: keys, sqn, is_tomb, expires_at, lmd, hash, size, user_md. Bodies are not read on."""
-    md = tags.value_metadata(F.col("value"), F.col("user_md"))
+    md = tags.heads_of_values(F.col("tag"), F.col("value"), F.col("user_md"))
     return journal.filter(F.col("jtype").isin("stnd", "tomb")).select(*KEYS, "sqn", (F.col("jtype") == "tomb").alias("is_tomb"), "expires_at", "lmd", md["hash"].alias("hash"), md["size"].alias("size"), md["user_md"].alias("user_md"))
 
 
@@ -111,5 +111,5 @@ def index(journal: DataFrame, *, where: Column | None = None, sqn: int | None =
 
 def with_segment(state: DataFrame) -> DataFrame:
     """The state with ``segment``, the struct of hashes of its canonical key."""
-    canonical = tags.plain_key(*[F.col(k) for k in KEYS[1:]])
+    canonical = tags.canonical_keys(F.col("tag"), *[F.col(k) for k in KEYS[1:]])
     return state.withColumn("segment", hashing.segment_hash(canonical))

@@ -30,7 +30,7 @@ def maintain_ledger(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 def running_tree(stream: DataFrame, size: str = "small") -> DataFrame:
     """A hash tree over all writes of a stream by sequence number: (segment, leaf), updated as rows arrive."""
-    h = hashing.segment_hash(tags.plain_key(*[F.col(k) for k in KEYS[1:]]))
+    h = hashing.segment_hash(tags.canonical_keys(F.col("tag"), *[F.col(k) for k in KEYS[1:]]))
     rows = object_changes(stream).select(h.alias("h"), F.col("sqn"))
     return rows.groupBy(hashing.tree_segment(hashing.segment32(F.col("h")), size).alias("segment")).agg(F.bit_xor(hashing.change_hash(F.col("h"), F.col("sqn"))).alias("leaf"))
 

@@ -121,6 +121,22 @@ def test_folds_of_heads(spark, tmp_path):
         assert not store.is_empty("h") and store.is_empty("o")
 
 
+def test_functions_of_a_registered_tag(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tags, "_REGISTRY", dict(tags._REGISTRY))
+    store = Store(spark, str(tmp_path / "own"), now=Clock(GREGORIAN_EPOCH))
+    for value in ("old", "new value"):
+        for tag in ("mine", "o"):
+            store.put(tag, "b", "k", value)
+    plain = rows(store.query("object_tree", where=F.col("tag") == "mine"), "segment")
+    size = lambda value, md: F.struct(F.lit(7).cast("long").alias("hash"), (F.length(value) * 2).cast("long").alias("size"), md.alias("user_md"))
+    head = lambda md: md.withField("user_md", F.create_map(F.lit("by"), F.lit("me")))
+    tags.register("mine", strategy="recovr", extract_metadata=size, build_head=head, canonical_key=lambda t, b, k, s: F.concat(F.lit("own"), k))
+    assert rows(store.query("head_fold", tag="mine"), "hash", "size") == [(7, 18)]
+    assert store.query("head_fold", tag="mine").first()["user_md"] == {"by": "me"} and store.query("head_fold", tag="o").first()["size"] == 9
+    assert rows(store.query("object_tree", where=F.col("tag") == "mine"), "segment") != plain
+    assert rows(maintain.decisions(store.journal()), "tag", "sqn", "decision") == [("mine", 1, "discard"), ("mine", 3, "keep"), ("o", 2, "convert"), ("o", 4, "keep")]
+
+
 def many(spark, n, **more):
     rows = spark.range(1, n + 1).select(F.col("id").alias("sqn"), F.lit("o").alias("tag"), (F.col("id") % 3).cast("string").alias("bucket"), F.lpad(F.col("id").cast("string"), 6, "0").alias("key"), F.concat(F.lit("v"), "id").alias("value"), F.when(F.col("id") % 4 > 0, F.col("id") * 10).alias("lmd"))
     for c, v in more.items():
