@@ -2,9 +2,11 @@
 
 import collections
 import html
+import json
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -219,13 +221,98 @@ def test_slugs_are_no_noise(spark):
     assert text_of(spark, [(1, "http://s.org", body)]) == {1: "A\nB\nC\nD\nE\nF"}
 
 
+def wrapper_of(found):
+    items = html_wrappers.stream(found)
+    return html_wrappers._filled(json.loads(json.dumps(list(map(html_wrappers._plain, items)))), [html_wrappers.counted(found, leaf[1]) for leaf in html_wrappers.leaves(items)])
+
+
 def test_alignment():
-    a = html_wrappers.stream([("p", "x"), ("div", "same"), ("li", "1"), ("li", "2"), ("li", "3")])
-    b = html_wrappers.stream([("div", "same"), ("li", "4"), ("h1", "t")])
-    assert a == [["p", "x"], ["div", "same"], ["+", [["li", "*"]]]]
-    assert html_wrappers.align(a, b) == [["?", [["p", "x"]]], ["div", "same"], ["+", [["li", "*"]]], ["?", [["h1", "t"]]]]
-    pairs = html_wrappers.fold([["a", "1"], ["b", "2"], ["a", "3"], ["b", "4"], ["c", "5"]])
-    assert pairs == [["+", [["a", "*"], ["b", "*"]]], ["c", "5"]]
+    a = wrapper_of([("p", "x", 0), ("div", "same", 0), ("li", "1", 1), ("li", "2", 0), ("li", "3", 0)])
+    b = wrapper_of([("div", "same", 0), ("li", "4", 0), ("h1", "© t", 0)])
+    assert a == [["p", [1, 1, 0, 0]], ["div", [1, 4, 0, 0]], ["+", [["li", [3, 3, 1, 0]]]]]
+    both = [["?", [["p", [1, 1, 0, 0]]]], ["div", [2, 8, 0, 0]], ["+", [["li", [4, 4, 1, 0]]]], ["?", [["h1", [1, 3, 0, 1]]]]]
+    assert html_wrappers.align(a, b) == both
+    assert html_wrappers.fold([[k, [i]] for i, k in enumerate("ababcaabbaabb")]) == [["+", [["a", [0, 2]], ["b", [1, 3]]]], ["c", [4]], ["+", [["+", [["a", [5, 6, 9, 10]]]], ["+", [["b", [7, 8, 11, 12]]]]]]]
+    assert html_wrappers.infer(iter([])) == []
+
+
+def test_every_stream_has_its_places():
+    """A wrapper of any streams has a leaf of the same path for every block of each, by either way of alignment."""
+    rnd = random.Random(12)
+    for exact in (1 << 16, 0):
+        html_wrappers.EXACT = exact
+        try:
+            for _ in range(60):
+                pages = [[(rnd.choice("abcd"), "t", 0) for _ in range(rnd.randrange(14))] for _ in range(5)]
+                wrapper = json.dumps(html_wrappers.infer(map(wrapper_of, pages)))
+                assert all(p is not None for found in pages for p in html_wrappers.match(found, wrapper))
+        finally:
+            html_wrappers.EXACT = 1 << 16
+
+
+def test_pages_without_telling_elements(spark):
+    """With all elements that tell what they are renamed, the wrapper alone finds the article: menus are links, owners' lines say so, shared lines are literals."""
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    pages, want = [], {}
+    for i in range(12):
+        menu = "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(rnd.randrange(2, 7)))
+        paragraphs = [" ".join(word() for _ in range(30)) for _ in range(rnd.randrange(1, 6))]
+        title = f"{word()} {word()}"
+        pages.append((i, "http://plain.org/x", f"<html><body class='has-sidebar'><div><ul>{menu}</ul></div><div>Sign in to read more</div><div class='page header-fixed'><h1>{title}</h1>{''.join(f'<p>{p}' for p in paragraphs)}</div><div>&copy; plain.org &middot; {word()} {word()}</div></body></html>"))
+        want[i] = "\n".join([title, *paragraphs])
+    assert text_of(spark, pages) == want
+
+
+def test_text_comes_from_the_wrapper():
+    """Without a wrapper there is no text, and what the wrapper counts decides which of equal paths are content."""
+    found = html_wrappers.blocks("<article><h1>T</h1><p>x</p></article>")
+    wrapper = json.dumps(wrapper_of(found))
+    assert html_wrappers.extract(found, wrapper, frozenset()) == "T\nx" and html_wrappers.extract(found, "[]", frozenset()) == ""
+    found = html_wrappers.blocks("<div>one</div><hr><p>two</p>")
+    links = json.dumps([["div", [4, 40, 40, 0]], ["p", [4, 40, 0, 0]]])
+    assert html_wrappers.extract(found, links, frozenset()) == "two"
+
+
+def test_what_holds_the_text_is_no_noise(spark):
+    pages = [(i, f"http://n.org/{i}", f"<body class='sidebar'><div class='header'><article><h1>T{i}</h1><p>Text {i}</p></article></div><nav>no</nav></body>") for i in range(3)]
+    assert text_of(spark, pages) == {i: f"T{i}\nText {i}" for i in range(3)}
+
+
+def test_two_pages_like_three(spark):
+    """A line that both or all pages of a host share outside of content is a literal; one page alone has none."""
+    body = "<div id='top'>Shared line</div><p>Own words {0}</p>"
+    for n in (1, 2, 3):
+        got = text_of(spark, [(i, "http://few.org/x", body.format(i)) for i in range(n)])
+        assert got == {i: ("Shared line\n" if n == 1 else "") + f"Own words {i}" for i in range(n)}
+
+
+def test_titles_of_near_copies_stay(spark):
+    body = "<article><h1>One title</h1><p>{0} words</p></article>"
+    assert text_of(spark, [(i, "http://copy.org", body.format(i)) for i in range(2)]) == {i: f"One title\n{i} words" for i in range(2)}
+
+
+def test_very_long_pages():
+    began = time.perf_counter()
+    one = html_wrappers.blocks("".join(f"<div id=x{i}><p>t{i}</p></div>" for i in range(20_000)))
+    two = html_wrappers.blocks("".join(f"<div id=x{i}><p>t{i}</p></div>" for i in range(20_000) if i % 7) + "".join(f"<ol id=y{i}><p>t{i}</p></ol>" for i in range(10_000)))
+    wrapper = json.dumps(html_wrappers.infer([wrapper_of(one), wrapper_of(two)]))
+    assert html_wrappers.extract(one, wrapper, frozenset()) == "\n".join(f"t{i}" for i in range(20_000))
+    assert len(html_wrappers.extract(two, wrapper, frozenset()).split("\n")) == len(two)
+    assert time.perf_counter() - began < 20
+
+
+def test_a_hot_host_in_many_shares(spark, monkeypatch):
+    """A host of many different streams is aligned in rounds; every page keeps its whole article."""
+    monkeypatch.setattr(html_wrappers, "SHARE", 3)
+    rnd = random.Random(14)
+    pages, want = [], {}
+    for i in range(60):
+        tags = [rnd.choice(["p", "h2", "blockquote", "pre"]) for _ in range(rnd.randrange(1, 7))]
+        parts = [f"{i} {k} {rnd.random()}" for k in range(len(tags))]
+        pages.append((i, "http://hot.org", "<article>" + "".join(f"<{t}>{x}</{t}>" for t, x in zip(tags, parts, strict=True)) + "</article><footer>no</footer>"))
+        want[i] = "\n".join(parts)
+    assert text_of(spark, pages) == want
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
