@@ -13,16 +13,41 @@ from kvstrata.functions.hashing import value_hash
 STANDARD, SIBLINGS, HEAD_ONLY = "o", "o_rkv", "h"
 
 
+#: What an object is made of, as its tag's functions see it.
+Record = dict[str, Column]
+#: A sibling of an object without its value.
+SIBLING = "struct<vtag:string,deleted:boolean,lmd:bigint,index:array<struct<field:string,term_s:string,term_i:bigint>>>"
+CLOCK = "array<struct<actor:string,n:bigint>>"
+
+
 def plain_key(bucket_type: Column, bucket: Column, key: Column, subkey: Column) -> Column:
-    """Bucket type, bucket, key and subkey joined; nulls are left out."""
+    """Bucket type, bucket, key and subkey joined; nulls are left out. Other borders between the parts give the same key."""
     return F.concat_ws("", bucket_type, bucket, key, subkey)
 
 
-def value_metadata(value: Column, user_md: Column) -> Column:
-    return F.struct(value_hash(value).alias("hash"), F.length(value).cast("long").alias("size"), user_md.alias("user_md"))
+def framed_key(*parts: Column) -> Column:
+    """The parts with their lengths, so that only equal parts give equal keys; a null part is a dash."""
+    return F.concat(*[F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts])
+
+
+def value_metadata(record: Record) -> Record:
+    """Hash and size (in bytes) of the value, and what the record says of itself."""
+    value = record["value"]
+    return {"hash": value_hash(value), "size": F.octet_length(value).cast("long"), "user_md": record["user_md"], "lmd": record["lmd"]}
+
 
+def sibling_metadata(record: Record) -> Record:
+    """Of an object of siblings: the hash of its clock, the latest date of all siblings, the clock, and the siblings without values.
 
-def build_head(metadata: Column) -> Column:
+    An object without a clock is hashed by its value, one without siblings has the date of its record.
+    """
+    plain = value_metadata(record)
+    dates = last_modified(F.transform(record["siblings"], lambda s: s["lmd"]))
+    return plain | {"hash": F.coalesce(clock_hash(record["vclock"]), plain["hash"]), "lmd": F.coalesce(dates, record["lmd"]), "vclock": record["vclock"], "siblings": record["siblings"]}
+
+
+def build_head(metadata: Record) -> Record:
+    """The head of an object, as its metadata are."""
     return metadata
 
 
@@ -39,14 +64,14 @@ class TagSpec:
     """The four column functions of a tag, and how compaction treats it (retain, recovr or recalc)."""
 
     tag: str
-    canonical_key: Callable[..., Column] = plain_key
-    extract_metadata: Callable[[Column, Column], Column] = value_metadata
-    build_head: Callable[[Column], Column] = build_head
+    canonical_key: Callable[..., Column] = framed_key
+    extract_metadata: Callable[[Record], Record] = value_metadata
+    build_head: Callable[[Record], Record] = build_head
     diff_terms: Callable[[Column, Column], Column] = term_difference
     strategy: str = "retain"
 
 
-_REGISTRY = {t: TagSpec(t) for t in (STANDARD, SIBLINGS, HEAD_ONLY)}
+_REGISTRY = {STANDARD: TagSpec(STANDARD), SIBLINGS: TagSpec(SIBLINGS, plain_key, sibling_metadata), HEAD_ONLY: TagSpec(HEAD_ONLY, plain_key)}
 
 
 def spec(tag: str) -> TagSpec:
@@ -73,13 +98,18 @@ def _by_tag(tag: Column, default: Column, own: dict[str, Column]) -> Column:
 
 def canonical_keys(tag: Column, *parts: Column) -> Column:
     """The canonical key of rows of any tags."""
-    return _by_tag(tag, plain_key(*parts), {s.tag: s.canonical_key(*parts) for s in registered() if s.canonical_key is not plain_key})
+    return _by_tag(tag, framed_key(*parts), {s.tag: s.canonical_key(*parts) for s in registered() if s.canonical_key is not framed_key})
+
+
+#: The fields of a head, with their types.
+HEAD = {"hash": "bigint", "size": "bigint", "user_md": "map<string,string>", "vclock": CLOCK, "siblings": f"array<{SIBLING}>", "lmd": "bigint"}
 
 
-def heads_of_values(tag: Column, value: Column, user_md: Column) -> Column:
-    """The head, struct(hash, size, user_md), of values of any tags."""
-    own = {s.tag: s.build_head(s.extract_metadata(value, user_md)) for s in registered() if s.extract_metadata is not value_metadata or s.build_head is not build_head}
-    return _by_tag(tag, value_metadata(value, user_md), own)
+def heads_of_values(tag: Column, record: Record) -> Record:
+    """The fields of the heads of records of any tags. Fields that a tag's functions leave out are null."""
+    heads = {s.tag: s.build_head(s.extract_metadata(record)) for s in registered() if s.extract_metadata is not value_metadata or s.build_head is not build_head}
+    plain, none = value_metadata(record), F.lit(None)
+    return {f: _by_tag(tag, plain.get(f, none).cast(t), {name: head.get(f, none).cast(t) for name, head in heads.items()}) for f, t in HEAD.items()}
 
 
 def sibling_terms(siblings: Column) -> Column:
@@ -95,4 +125,4 @@ def last_modified(lmds: Column) -> Column:
 def clock_hash(vclock: Column) -> Column:
     """A 32-bit hash of a vector clock, an array of struct(actor, n), that does not depend on its order."""
     ordered = F.array_sort(F.transform(vclock, lambda c: F.concat_ws(":", c["actor"], c["n"].cast("string"))))
-    return F.conv(F.substring(F.md5(F.array_join(ordered, ",")), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.array_join(ordered, ",").cast("binary")), 1, 8), 16, 10).cast("long")

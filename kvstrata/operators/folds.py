@@ -1,81 +1,107 @@
-"""Scans of the state, as lazy DataFrames: indexes, buckets, keys, heads, objects, and named aggregates over them."""
+"""Scans of the state, as lazy DataFrames: indexes, buckets, keys, heads, objects, and named aggregates over them.
+
+A bucket is a name, or a tuple of type and name; a plain name never finds typed buckets. Rows come in no order unless
+``ordered`` asks for the order of the scan, which costs a sort.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvstrata.operators import reads
-from kvstrata.operators.state import as_of, index, ledger, modified_within, with_segment
+from kvstrata.operators.state import KEYS, Bucket, as_of, bucket_is, index, key_order, ledger, modified_within, same
+
+#: More segments than these are joined, not spelled out in the condition; there are 65,536 at most.
+SEGMENTS = 256
 
 
+def _range(tag: str, bucket: Bucket | None, start: str | None, end: str | None) -> Column:
+    where = F.col("tag") == tag
+    for cond in (None if bucket is None else bucket_is(bucket), None if start is None else F.col("key") >= start, None if end is None else F.col("key") <= end):
+        where = where if cond is None else where & cond
+    return where
+
 
-def index_range(journal: DataFrame, bucket: str, field: str, start, end, *, start_key: str | None = None, regex: str | None = None, return_terms: bool = True, **at) -> DataFrame:
-    """Postings of terms in [start, end], both included, by term and key; once for each term that a key has.
+def index_range(journal: DataFrame, bucket: Bucket, field: str, start, end, *, start_key: str | None = None, regex: str | None = None, return_terms: bool = True, ordered: bool = False, **at) -> DataFrame:
+    """Postings of terms in [start, end], both included; once for each term that a key has.
 
     ``start_key`` is where the scan starts: it holds back keys of the first term only. ``regex`` is searched anywhere
-    in string terms. ``end`` may be None for an open end.
+    in string terms. ``end`` may be None for an open end. ``ordered`` sorts by term and key.
     """
     numeric = isinstance(start, int)
     if numeric and regex is not None:
         raise TypeError("a regular expression needs string terms")
     term = "term_i" if numeric else "term_s"
-    where = (F.col("bucket") == bucket) & (F.col("field") == field) & (F.col(term) >= start)
+    where = bucket_is(bucket) & (F.col("field") == field) & (F.col(term) >= start)
     if end is not None:
         where &= F.col(term) <= end
     if start_key is not None:
         where &= (F.col(term) > start) | (F.col("key") >= start_key)
     if regex is not None:
         where &= F.col(term).rlike(regex)
-    found = index(journal, where=where, **at)
-    return found.select(F.col(term).alias("term"), "key") if return_terms else found.select("key")
+    found = index(journal, where=where, **at).select(F.col(term).alias("term"), "key")
+    found = found.orderBy("term", "key") if ordered else found
+    return found if return_terms else found.select("key")
 
 
-def bucket_list(journal: DataFrame, tag: str, *, first: bool = False, **at) -> DataFrame:
-    """Buckets with a visible object, typed ones first, then by name."""
+def bucket_list(journal: DataFrame, tag: str, *, first: bool = False, ordered: bool = False, **at) -> DataFrame:
+    """Buckets with a visible object; in order, typed ones first, then by name."""
     found = ledger(journal, where=F.col("tag") == tag, **at).select("bucket_type", "bucket").distinct()
-    return found.orderBy(F.col("bucket_type").isNull(), "bucket_type", "bucket").limit(1) if first else found
+    found = found.orderBy(*key_order()[:3]) if ordered or first else found
+    return found.limit(1) if first else found
 
 
-def key_list(journal: DataFrame, tag: str, bucket: str | None = None, *, start: str | None = None, end: str | None = None, regex: str | None = None, **at) -> DataFrame:
-    """Keys of a tag, of a bucket, of a range of keys, or of those that match."""
-    where = F.col("tag") == tag
-    if bucket is not None:
-        where &= F.col("bucket") == bucket
-    if start is not None:
-        where &= F.col("key") >= start
-    if end is not None:
-        where &= F.col("key") <= end
+def key_list(journal: DataFrame, tag: str, bucket: Bucket | None = None, *, start: str | None = None, end: str | None = None, regex: str | None = None, ordered: bool = False, **at) -> DataFrame:
+    """Keys of a tag, of a bucket, of a range of keys, or of those that match: bucket_type, bucket, key, subkey."""
+    where = _range(tag, bucket, start, end)
     if regex is not None:
         where &= F.col("key").rlike(regex)
-    return ledger(journal, where=where, **at).select("bucket", "key")
+    found = ledger(journal, where=where, **at).select(*KEYS[1:])
+    return found.orderBy(*key_order()) if ordered else found
+
+
+def _in_segments(journal: DataFrame, segments: list[int]) -> tuple[Column, Callable[[DataFrame], DataFrame]]:
+    """A condition on seg16 for few segments, or a join for many: one of both does nothing."""
+    low = sorted({s & 0x7FFF for s in segments})
+    both = [*low, *(s | 0x8000 for s in low)]
+    if len(low) <= SEGMENTS:
+        return F.col("seg16").isin(both), lambda state: state
+    wanted = journal.sparkSession.createDataFrame([(s,) for s in both], "w_seg long")
+    return F.lit(True), lambda state: state.join(F.broadcast(wanted), F.col("seg16") == F.col("w_seg"), "left_semi")
 
 
 def head_fold(
-    journal: DataFrame, tag: str, *, buckets: list[str] | None = None, start: str | None = None, end: str | None = None, segments: list[int] | None = None,
-    modified: tuple[int, int | None] | None = None, check_presence: bool = False, max_count: int | None = None, **at,
+    journal: DataFrame, tag: str, *, buckets: list[Bucket] | None = None, start: str | None = None, end: str | None = None, segments: list[int] | None = None,
+    modified: tuple[int, int | None] | None = None, check_presence: bool = False, max_count: int | None = None, ordered: bool = False, **at,
 ) -> DataFrame:
     """Heads, with all limits applied in the order in which they count.
 
     ``segments`` compares 15 bits, so more may come back than was asked for. ``max_count`` counts before
-    ``check_presence``, in the order of keys, or of the given buckets; the first so many entries remain.
+    ``check_presence``, in the order of keys, or of the given buckets; the first so many entries remain. Heads of batches have
+    no body, so ``check_presence`` leaves none of them.
     """
-    where = F.col("tag") == tag
+    where = _range(tag, None, start, end)
+    place = None
     if buckets is not None:
-        where &= F.col("bucket").isin(buckets)
-    if start is not None:
-        where &= F.col("key") >= start
-    if end is not None:
-        where &= F.col("key") <= end
-    out = ledger(journal, where=where, **at)
+        some = F.lit(False)
+        for k, b in enumerate(buckets):
+            some |= bucket_is(b)
+            place = F.when(bucket_is(b), k) if place is None else place.when(bucket_is(b), k)
+        where &= some
+    narrow = lambda state: state
+    if segments is not None:
+        cond, narrow = _in_segments(journal, segments)
+        where &= cond
+    out = narrow(ledger(journal, where=where, **at)).drop("seg16")
     if modified is not None:
         out = out.filter(modified_within(*modified))
-    if segments is not None:
-        low = sorted({s & 0x7FFF for s in segments})
-        out = with_segment(out).filter(F.col("segment.seg16").bitwiseAND(0x7FFF).isin(low)).drop("segment")
-    if max_count is not None:
-        given = [F.array_position(F.lit(buckets), F.col("bucket"))] if buckets is not None else []
-        out = out.orderBy(*given, F.col("bucket_type").isNull(), "bucket_type", "bucket", "key", "subkey").limit(max_count)
+    if max_count is not None or ordered:
+        out = out.orderBy(*([] if place is None else [place]), *key_order())
+        out = out if max_count is None else out.limit(max_count)
     return reads.present(out, as_of(journal, at.get("sqn"))) if check_presence else out
 
 
@@ -84,39 +110,41 @@ def remaining(found: DataFrame, max_count: int) -> DataFrame:
     return found.agg((F.lit(max_count) - F.count(F.lit(1))).alias("remaining"), F.count(F.lit(1)).alias("found"))
 
 
-def object_fold(journal: DataFrame, tag: str, *, order: str = "key_order", bucket: str | None = None, start: str | None = None, end: str | None = None, **at) -> DataFrame:
+def object_fold(journal: DataFrame, tag: str, *, order: str = "key_order", bucket: Bucket | None = None, start: str | None = None, end: str | None = None, ordered: bool = False, **at) -> DataFrame:
     """Objects with their bodies. In ``sqn_order`` current writes are read from the journal and expiry is not looked at."""
+    columns = ["sqn", "bucket_type", "bucket", "key", "value"]
     if order == "sqn_order":
         seen = as_of(journal, at.get("sqn")).filter(F.col("tag") == tag)
-        now = ledger(seen, all_versions=True, base=at.get("base"), where=F.col("tag") == tag).select("tag", "bucket", "key", "sqn")
-        return seen.filter(F.col("jtype") == "stnd").join(now, ["tag", "bucket", "key", "sqn"], "left_semi").select("sqn", "bucket", "key", "value")
-    where = F.col("tag") == tag
-    for cond in (None if bucket is None else F.col("bucket") == bucket, None if start is None else F.col("key") >= start, None if end is None else F.col("key") <= end):
-        where = where if cond is None else where & cond
-    return reads.fetch(ledger(journal, where=where, **at), as_of(journal, at.get("sqn"))).select("sqn", "bucket", "key", "value")
+        now = ledger(seen, all_versions=True, base=at.get("base"), where=F.col("tag") == tag).select(*reads.BODY)
+        found = seen.filter(F.col("jtype") == "stnd").alias("s").join(now.alias("n"), same("s", "n", reads.BODY), "left_semi").select(*columns)
+        return found.orderBy("sqn") if ordered else found
+    found = reads.fetch(ledger(journal, where=_range(tag, bucket, start, end), **at), as_of(journal, at.get("sqn"))).select(*columns)
+    return found.orderBy(*key_order()[:4]) if ordered else found
 
 
-def object_fold_by_index(journal: DataFrame, tag: str, bucket: str, field: str, start, end, *, version: str = "as_indexed", **at) -> DataFrame:
+def object_fold_by_index(journal: DataFrame, tag: str, bucket: Bucket, field: str, start, end, *, version: str = "as_indexed", ordered: bool = False, **at) -> DataFrame:
     """Objects by index: the version that wrote the posting (``as_indexed``), or the current one (``current``)."""
     term = "term_i" if isinstance(start, int) else "term_s"
-    where = (F.col("tag") == tag) & (F.col("bucket") == bucket) & (F.col("field") == field) & F.col(term).between(start, end)
+    where = (F.col("tag") == tag) & bucket_is(bucket) & (F.col("field") == field) & F.col(term).between(start, end)
     found = index(journal, where=where, **at)
     if version == "current":
-        state = ledger(journal, where=(F.col("tag") == tag) & (F.col("bucket") == bucket), **at)
-        found = found.drop("sqn", "is_tomb", "expires_at").join(state.select("tag", "bucket", "key", "sqn"), ["tag", "bucket", "key"])
-    return reads.fetch(found.select("tag", "bucket", "key", "sqn", F.col(term).alias("term")), as_of(journal, at.get("sqn"))).select("term", "key", "sqn", "value")
+        state = ledger(journal, where=(F.col("tag") == tag) & bucket_is(bucket), **at)
+        key = reads.BODY[:-1]
+        found = found.alias("i").join(state.alias("s"), same("i", "s", key)).select(*[f"i.{k}" for k in key], "s.sqn", F.col(f"i.{term}").alias(term))
+    found = reads.fetch(found.select(*reads.BODY, F.col(term).alias("term")), as_of(journal, at.get("sqn"))).select("term", "key", "sqn", "value")
+    return found.orderBy("term", "key") if ordered else found
 
 
-def bucket_stats(journal: DataFrame, tag: str, bucket: str | None = None, **at) -> DataFrame:
-    """Total size and number of objects, of one bucket or of each."""
-    where = F.col("tag") == tag
-    if bucket is not None:
-        where &= F.col("bucket") == bucket
-    return ledger(journal, where=where, **at).groupBy("bucket").agg(F.sum("size").alias("total_size"), F.count(F.lit(1)).alias("n_objects"))
+def bucket_stats(journal: DataFrame, tag: str, bucket: Bucket | None = None, **at) -> DataFrame:
+    """Total size in bytes and number of objects, of one bucket or of each."""
+    return ledger(journal, where=_range(tag, bucket, None, None), **at).groupBy("bucket_type", "bucket").agg(F.sum("size").alias("total_size"), F.count(F.lit(1)).alias("n_objects"))
 
 
-def hash_list(journal: DataFrame, tag: str, **at) -> DataFrame:
-    return ledger(journal, where=F.col("tag") == tag, **at).select("bucket", "key", "hash")
+def hash_list(journal: DataFrame, tag: str, *, check_presence: bool = False, **at) -> DataFrame:
+    """Keys with the hashes of their objects; with ``check_presence`` of those whose body is there (all are checked)."""
+    found = ledger(journal, where=F.col("tag") == tag, **at)
+    found = reads.present(found, as_of(journal, at.get("sqn"))) if check_presence else found
+    return found.select(*KEYS[1:], "hash")
 
 
 def estimate_count(journal: DataFrame, tag: str, segments: list[int], **at) -> DataFrame:
@@ -152,6 +180,26 @@ def fold(found: DataFrame, order: tuple[str, ...], step, acc):
     return acc
 
 
+def fold_groups(found: DataFrame, by: tuple[str, ...], order: tuple[str, ...], step, init, schema: str) -> DataFrame:
+    """An arbitrary sequential fold of each group on the executors: ``step(row, acc)`` over rows (dicts) in order.
+
+    ``schema`` names the columns of ``by`` and of the dict that the last accumulator must be. StopIteration ends a
+    group early. A group must fit into a task's memory; groups that need not can use ``aggregate``.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, acc = frame.sort_values(list(order)), init()
+        for row in frame.to_dict("records"):
+            try:
+                acc = step(row, acc)
+            except StopIteration as e:
+                acc = acc if e.value is None else e.value
+                break
+        return pd.DataFrame([{c: frame[c].iloc[0] for c in by} | acc])
+
+    return found.groupBy(*by).applyInPandas(run, schema)
+
+
 def page(found: DataFrame, order: tuple[str, ...], size: int) -> DataFrame:
     """The first ``size`` rows in a total order."""
     return found.orderBy(*order).limit(size)
@@ -159,5 +207,6 @@ def page(found: DataFrame, order: tuple[str, ...], size: int) -> DataFrame:
 
 def latest_versions(journal: DataFrame, n: int) -> DataFrame:
     """The newest n writes of every key, with their place."""
-    place = F.row_number().over(Window.partitionBy("tag", "bucket", "key").orderBy(F.desc("sqn")))
-    return journal.filter(F.col("jtype").isin("stnd", "tomb")).select("tag", "bucket", "key", "sqn", "jtype", place.alias("place")).filter(F.col("place") <= n)
+    key = reads.BODY[:-1]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("sqn")))
+    return journal.filter(F.col("jtype").isin("stnd", "tomb")).select(*key, "sqn", "jtype", place.alias("place")).filter(F.col("place") <= n)

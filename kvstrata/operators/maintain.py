@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import random
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvstrata.functions import tags
-from kvstrata.operators.state import KEYS, as_of, key_changes, latest
+from kvstrata.operators.state import KEYS, as_of, key_changes, latest, same
 from kvstrata.sources.journal import SPECS, read_journal, write_journal
 
 
-def decisions(journal: DataFrame, *, strategies: dict[str, str] | None = None, persisted: int | None = None) -> DataFrame:
+def decisions(journal: DataFrame, *, strategies: dict[str, str] | None = None, persisted: int | None = None, whole: DataFrame | None = None) -> DataFrame:
     """Every record with what compaction does to it: keep, convert (to key deltas) or discard.
 
     A record is kept if it is the current one of its key, or newer than the last persisted sequence number. Else
     a tag under ``retain`` converts objects and keeps other records; ``recovr`` and ``recalc`` discard. Batches of
-    heads follow their tag like other records and are never current by key.
+    heads follow their tag like other records and are never current by key. ``whole`` is the journal that says what is
+    current, if ``journal`` is a part of it; of it only keys and numbers are read.
     """
     strategies = {s.tag: s.strategy for s in tags.registered()} | (strategies or {})
-    newest = journal.filter(F.col("jtype").isin("stnd", "tomb")).groupBy(*KEYS).agg(F.max("sqn").alias("newest"))
-    same = F.expr(" AND ".join(f"j.{k} <=> n.{k}" for k in KEYS))
-    joined = journal.alias("j").join(newest.alias("n"), same, "left").select("j.*", "n.newest")
+    newest = (journal if whole is None else whole).filter(F.col("jtype").isin("stnd", "tomb")).groupBy(*KEYS).agg(F.max("sqn").alias("newest"))
+    joined = journal.alias("j").join(newest.alias("n"), same("j", "n", KEYS), "left").select("j.*", "n.newest")
     pairs = [x for t, s in strategies.items() for x in (F.lit(t), F.lit(s))]
     strategy = F.coalesce(F.element_at(F.create_map(*pairs), F.col("tag")), F.lit("retain"))
     current = F.coalesce(F.col("newest") <= F.col("sqn"), F.lit(False))
@@ -37,32 +40,47 @@ def compact(journal: DataFrame, **options) -> DataFrame:
     return found.withColumn("jtype", F.when(turned, "keyd").otherwise(F.col("jtype"))).withColumn("value", F.when(~turned, F.col("value"))).drop("decision")
 
 
-def scores(journal: DataFrame, per_file: int, **options) -> DataFrame:
-    """For each stretch of ``per_file`` sequence numbers the share (in hundredths) of bytes that compaction would keep."""
-    size = F.coalesce(F.length("value"), F.lit(0)).cast("long")
-    kept = F.when(F.col("decision") == "keep", size).otherwise(0)
-    rows = decisions(journal, **options).groupBy(F.floor(F.col("sqn") / per_file).alias("file"))
-    found = rows.agg(F.sum(kept).alias("active_bytes"), F.sum(size).alias("total_bytes"))
-    return found.withColumn("score", F.when(F.col("total_bytes") == 0, 100.0).otherwise(100.0 * F.col("active_bytes") / F.col("total_bytes")))
+def scores(journal: DataFrame, by: Column | int, **options) -> DataFrame:
+    """For each file the share (in hundredths) of bytes that compaction would keep: file, active_bytes, total_bytes, score.
+
+    ``by`` says what a file is: a column, or a number of sequence numbers. A file without any bytes scores nothing.
+    """
+    size = F.coalesce(F.octet_length("value"), F.lit(0)).cast("long")
+    kept = F.when(F.col("decision") == "keep", F.col("bytes")).otherwise(0)
+    file = F.floor(F.col("sqn") / by) if isinstance(by, int) else by
+    rows = decisions(journal.withColumn("file", file).withColumn("bytes", size), **options).groupBy("file")
+    found = rows.agg(F.sum(kept).alias("active_bytes"), F.sum("bytes").alias("total_bytes"))
+    return found.withColumn("score", F.when(F.col("total_bytes") == 0, 0.0).otherwise(100.0 * F.col("active_bytes") / F.col("total_bytes")))
 
 
 def best_run(by_file: list[float], *, longest: int = 8, single_target: float = 30.0, run_target: float = 70.0) -> tuple[int, int, float] | None:
     """The run of files (first, length, gain) whose mean score lies furthest under the target for its length.
 
-    The target rises from that of a single file to that of the longest run; without any gain there is no run.
+    The target rises from that of a single file to that of the longest run. Of equal gains the longer run wins, then
+    the earlier; without any gain there is no run.
     """
     step = (run_target - single_target) / (longest - 1) if longest > 1 else 0.0
+    total = [0.0]
+    for score in by_file:
+        total.append(total[-1] + score)
     best = None
-    for first in range(len(by_file)):
-        total = 0.0
-        for n, score in enumerate(by_file[first : first + longest], 1):
-            total += score
-            gain = single_target + step * (n - 1) - total / n
+    for n in range(min(longest, len(by_file)), 0, -1):
+        for first in range(len(by_file) - n + 1):
+            gain = single_target + step * (n - 1) - (total[first + n] - total[first]) / n
             if gain > 0 and (best is None or gain > best[2]):
                 best = (first, n, gain)
     return best
 
 
+def next_run(hours: list[int], per_day: int, now: datetime, rnd: random.Random) -> int:
+    """Seconds until the next compaction: of ``per_day`` random quarters of an hour in the allowed hours the first that is still to come, today or else tomorrow."""
+    chosen = sorted((rnd.choice(hours), rnd.randrange(4)) for _ in range(per_day))
+    today = [c for c in chosen if c > (now.hour, now.minute // 15)]
+    hour, quarter = today[0] if today else chosen[0]
+    start = now.replace(hour=hour, minute=quarter * 15, second=0, microsecond=0) + timedelta(days=0 if today else 1)
+    return int((start - now).total_seconds()) + rnd.randrange(15 * 60)
+
+
 def terms_of_versions(journal: DataFrame) -> DataFrame:
     """Objects with ``terms`` (array of struct(field, term_s, term_i)) and ``old_terms``, those of the version before; a delete has none."""
     order = Window.partitionBy(*KEYS).orderBy("sqn")
@@ -103,12 +121,12 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Keys of two states that are missing in one or differ: bucket, key, and in_a, in_b, the hashes."""
+    """Keys of two states that are missing in one or differ: bucket_type, bucket, key, subkey, and in_a, in_b, the hashes."""
     x = a.select(*KEYS, F.col("hash").alias("in_a"), F.lit(True).alias("has_a"))
     y = b.select(*KEYS, F.col("hash").alias("in_b"), F.lit(True).alias("has_b"))
-    same = F.expr(" AND ".join(f"x.{k} <=> y.{k}" for k in KEYS))
-    joined = x.alias("x").join(y.alias("y"), same, "full_outer")
-    return joined.filter(~F.expr("in_a <=> in_b") | F.col("has_a").isNull() | F.col("has_b").isNull()).select(F.coalesce("x.bucket", "y.bucket").alias("bucket"), F.coalesce("x.key", "y.key").alias("key"), "in_a", "in_b")
+    joined = x.alias("x").join(y.alias("y"), same("x", "y", KEYS), "full_outer")
+    differ = ~F.expr("in_a <=> in_b") | F.col("has_a").isNull() | F.col("has_b").isNull()
+    return joined.filter(differ).select(*[F.coalesce(f"x.{k}", f"y.{k}").alias(k) for k in KEYS[1:]], "in_a", "in_b")
 
 
 def hand_off(journal: DataFrame, tag: str, path: str, keep=None) -> None:

@@ -54,11 +54,18 @@ def dirty_branches(a: DataFrame, b: DataFrame) -> DataFrame:
     return _differences(root(a), root(b), "branch", "hash")
 
 
-def dirty_leaves(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Segments whose leaves differ; both trees must be of one size."""
+def dirty_leaves(a: DataFrame, b: DataFrame, sizes: tuple[str, str] | None = None) -> DataFrame:
+    """Segments whose leaves differ; both trees must be of one size. ``sizes``, if they are given, are checked."""
+    if sizes is not None and sizes[0] != sizes[1]:
+        raise ValueError(f"trees of sizes {sizes[0]} and {sizes[1]} don't compare")
     return _differences(a, b, "segment", "leaf")
 
 
+def new_tree(spark: SparkSession) -> DataFrame:
+    """A tree without keys."""
+    return spark.sql("SELECT 0 AS segment, 0L AS leaf WHERE false")
+
+
 def merge(*trees: DataFrame) -> DataFrame:
     """The tree of the union of disjoint sets of keys."""
     whole = trees[0]

@@ -21,10 +21,11 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 _HEX = "CAST('0x' || substr(md5({0}), {1}, {2}) AS BIGINT)".format
+_FRAMED = "'-' || strlen(bucket) || ':' || bucket || strlen(key) || ':' || key || '-'"
 _PRE = f"""WITH o AS (
   SELECT o_orderkey AS sqn, o_orderpriority AS bucket, lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS lmd,
     strftime(o_orderdate, '%Y%m%d') AS dterm, o_custkey AS cterm, o_orderstatus AS sterm, o_orderstatus || '|' || CAST(o_custkey AS VARCHAR) AS value FROM orders),
-oh AS (SELECT *, {_HEX("value", 1, 8)} AS hash, length(value) AS size, {_HEX("bucket || key", 1, 4)} AS seg16, {_HEX("bucket || key", 5, 8)} AS extra32, {_HEX("bucket || key", 13, 8)} AS alt32 FROM o),
+oh AS (SELECT *, {_HEX("value", 1, 8)} AS hash, strlen(value) AS size, {_HEX(_FRAMED, 1, 4)} AS seg16, {_HEX(_FRAMED, 5, 8)} AS extra32, {_HEX(_FRAMED, 13, 8)} AS alt32 FROM o),
 e AS (
   SELECT event_id + 1 AS sqn, event_id % 7 = 0 AS is_tomb, event_type AS bucket, lpad(CAST(user_id AS VARCHAR), 8, '0') AS key, CAST(floor(epoch(ts)) AS BIGINT) AS lmd,
     CASE WHEN event_id % 7 <> 0 THEN CAST(event_id AS VARCHAR) || '|' || props END AS value, CAST(floor(value) AS BIGINT) AS term,
@@ -33,7 +34,12 @@ el AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY bucket, key ORDER
 ev AS (SELECT * FROM el WHERE NOT is_tomb AND (expires_at IS NULL OR expires_at >= {NOW})),
 es AS (SELECT * FROM (SELECT * FROM e WHERE sqn <= {_AT} QUALIFY row_number() OVER (PARTITION BY bucket, key ORDER BY sqn DESC) = 1) WHERE NOT is_tomb AND (expires_at IS NULL OR expires_at >= {NOW})),
 ei AS (SELECT * FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY bucket, term, key ORDER BY sqn DESC) = 1) WHERE NOT is_tomb AND (expires_at IS NULL OR expires_at >= {NOW})),
-h AS (SELECT c_mktsegment AS bucket, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key, c_name AS value FROM customer WHERE c_custkey % 9 <> 0)
+h AS (SELECT c_mktsegment AS bucket, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key, c_name AS value FROM customer WHERE c_custkey % 9 <> 0),
+b AS (
+  SELECT o_orderkey AS sqn, CASE WHEN o_orderstatus = 'F' THEN 'typed' END AS bucket_type, o_orderpriority AS bucket, lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS key, '€ ' || o_orderstatus || '|' || CAST(o_orderkey AS VARCHAR) AS value,
+    o_orderstatus AS status, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS lmd, 'é' || strftime(o_orderdate, '%Y') AS term, o_custkey, o_orderkey FROM orders),
+bl AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY bucket_type, bucket, key ORDER BY sqn DESC) = 1),
+bi AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY bucket_type, bucket, key, term ORDER BY sqn DESC) = 1)
 """
 _SEG32 = "((extra32 & 65535) << 16) | seg16"
 
@@ -45,6 +51,7 @@ def _add(name: str, query: Query, sql: str | None) -> None:
 
 
 _o, _e = tables.orders, tables.events
+_TEXT = "CAST(value AS STRING) AS value"
 _LOW, _HIGH = "19960101", "19960331"
 _BUCKET = "2-HIGH"
 
@@ -58,28 +65,22 @@ _add("index_all_versions", lambda s, d: folds.index_range(_e(s, d), "purchase",
 _add("index_term_counts", lambda s, d: state.index(_e(s, d), now=NOW).groupBy("bucket", F.col("term_i").alias("term")).agg(F.count(F.lit(1)).alias("n")), "SELECT bucket, term, count(*) AS n FROM ei GROUP BY ALL")
 _add("bucket_list", lambda s, d: folds.bucket_list(_e(s, d), "o_rkv", now=NOW).select("bucket"), "SELECT DISTINCT bucket FROM ev")
 _add("bucket_first", lambda s, d: folds.bucket_list(_e(s, d), "o_rkv", first=True, now=NOW).select("bucket"), "SELECT min(bucket) AS bucket FROM ev")
-_add("key_list_tag", lambda s, d: folds.key_list(_e(s, d), "o_rkv", now=NOW), "SELECT bucket, key FROM ev")
-_add("key_list_bucket", lambda s, d: folds.key_list(_o(s, d), "o", _BUCKET), f"SELECT bucket, key FROM o WHERE bucket = '{_BUCKET}'")
-_add("key_list_range", lambda s, d: folds.key_list(_o(s, d), "o", _BUCKET, start="0000000123", end="0000000779"), f"SELECT bucket, key FROM o WHERE bucket = '{_BUCKET}' AND key BETWEEN '0000000123' AND '0000000779'")
-_add("key_list_regex", lambda s, d: folds.key_list(_o(s, d), "o", _BUCKET, start="0000000000", end="0000009999", regex="7.3"), f"SELECT bucket, key FROM o WHERE bucket = '{_BUCKET}' AND key <= '0000009999' AND regexp_matches(key, '7.3')")
-_add("get_latest", lambda s, d: reads.get(_e(s, d), "o_rkv", "click", "00000042", now=NOW).select("bucket", "key", "sqn", "value"), "SELECT bucket, key, sqn, value FROM ev WHERE bucket = 'click' AND key = '00000042'")
-_add("head_latest", lambda s, d: reads.head(_e(s, d), "o_rkv", "click", "00000042", now=NOW).select("bucket", "key", "sqn", "hash", "size", "lmd"), f"SELECT bucket, key, sqn, {_HEX('value', 1, 8)} AS hash, length(value) AS size, lmd FROM ev WHERE bucket = 'click' AND key = '00000042'")
+_add("key_list_tag", lambda s, d: folds.key_list(_e(s, d), "o_rkv", now=NOW).select("bucket", "key"), "SELECT bucket, key FROM ev")
+_add("key_list_bucket", lambda s, d: folds.key_list(_o(s, d), "o", _BUCKET).select("bucket", "key"), f"SELECT bucket, key FROM o WHERE bucket = '{_BUCKET}'")
+_add("key_list_range", lambda s, d: folds.key_list(_o(s, d), "o", _BUCKET, start="0000000123", end="0000000779").select("bucket", "key"), f"SELECT bucket, key FROM o WHERE bucket = '{_BUCKET}' AND key BETWEEN '0000000123' AND '0000000779'")
+_add("key_list_regex", lambda s, d: folds.key_list(_o(s, d), "o", _BUCKET, start="0000000000", end="0000009999", regex="7.3").select("bucket", "key"), f"SELECT bucket, key FROM o WHERE bucket = '{_BUCKET}' AND key <= '0000009999' AND regexp_matches(key, '7.3')")
+_add("get_latest", lambda s, d: reads.get(_e(s, d), "o_rkv", "click", "00000042", now=NOW).selectExpr("bucket", "key", "sqn", _TEXT), "SELECT bucket, key, sqn, value FROM ev WHERE bucket = 'click' AND key = '00000042'")
+_add("head_latest", lambda s, d: reads.head(_e(s, d), "o_rkv", "click", "00000042", now=NOW).select("bucket", "key", "sqn", "hash", "size", "lmd"), f"SELECT bucket, key, sqn, {_HEX('value', 1, 8)} AS hash, strlen(value) AS size, lmd FROM ev WHERE bucket = 'click' AND key = '00000042'")
 _add("sqn_current", lambda s, d: state.ledger(_e(s, d), now=NOW).select("bucket", "key", "sqn"), "SELECT bucket, key, sqn FROM ev")
 
 
-def _some_keys(s: SparkSession, d: str) -> DataFrame:
-    return _e(s, d).filter("sqn % 11 = 0").select("tag", "bucket", "key")
-
-
 def _customer_keys(s: SparkSession, d: str) -> DataFrame:
     customers = s.read.parquet(f"{d}/customer.parquet")
     return customers.select(F.lit("o_rkv").alias("tag"), F.lit("purchase").alias("bucket"), F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("key"))
 
 
-_add("multi_get", lambda s, d: reads.multi_get(_e(s, d), _some_keys(s, d), now=NOW).select("bucket", "key", "sqn", "value"), "SELECT bucket, key, sqn, value FROM ev WHERE (bucket, key) IN (SELECT bucket, key FROM e WHERE sqn % 11 = 0)")
-_add("currency_check", lambda s, d: reads.currency(_e(s, d), _e(s, d).filter("sqn % 5 = 0").select("tag", "bucket", "key", F.col("sqn").alias("asked_sqn"))).select("bucket", "key", "asked_sqn", "status"), "SELECT e.bucket, e.key, e.sqn AS asked_sqn, CASE WHEN el.sqn IS NULL THEN 'missing' WHEN el.sqn > e.sqn THEN 'replaced' ELSE 'current' END AS status FROM e LEFT JOIN el ON e.bucket = el.bucket AND e.key = el.key WHERE e.sqn % 5 = 0")
-_add("multi_get_customers", lambda s, d: reads.multi_get(_e(s, d), _customer_keys(s, d), now=NOW).select("bucket", "key", "sqn", "value"), "SELECT bucket, key, sqn, value FROM ev WHERE (bucket, key) IN (SELECT 'purchase', lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer)")
-_add("currency_check_all", lambda s, d: reads.currency(_e(s, d), _e(s, d).select("tag", "bucket", "key", F.col("sqn").alias("asked_sqn"))).select("bucket", "key", "asked_sqn", "status"), "SELECT e.bucket, e.key, e.sqn AS asked_sqn, CASE WHEN el.sqn IS NULL THEN 'missing' WHEN el.sqn > e.sqn THEN 'replaced' ELSE 'current' END AS status FROM e LEFT JOIN el ON e.bucket = el.bucket AND e.key = el.key")
+_add("multi_get", lambda s, d: reads.multi_get(_e(s, d), _customer_keys(s, d), now=NOW).selectExpr("bucket", "key", "sqn", _TEXT), "SELECT bucket, key, sqn, value FROM ev WHERE (bucket, key) IN (SELECT 'purchase', lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer)")
+_add("currency_check", lambda s, d: reads.currency(_e(s, d), _e(s, d).select("tag", "bucket", "key", F.col("sqn").alias("asked_sqn"))).select("bucket", "key", "asked_sqn", "status"), "SELECT e.bucket, e.key, e.sqn AS asked_sqn, CASE WHEN el.sqn IS NULL THEN 'missing' WHEN el.sqn > e.sqn THEN 'replaced' ELSE 'current' END AS status FROM e LEFT JOIN el ON e.bucket = el.bucket AND e.key = el.key")
 _add("tombstones_hidden", lambda s, d: state.ledger(_e(s, d)).select("bucket", "key", "sqn"), "SELECT bucket, key, sqn FROM el WHERE NOT is_tomb")
 _add("ttl_visible", lambda s, d: state.ledger(_e(s, d), now=NOW).select("bucket", "key", "sqn", F.coalesce("expires_at", F.lit(0).cast("long")).alias("expires_at")), "SELECT bucket, key, sqn, coalesce(expires_at, 0) AS expires_at FROM ev")
 _add("as_of_snapshot", lambda s, d: state.ledger(_e(s, d), sqn=_AT, now=NOW).select("bucket", "key", "sqn"), "SELECT bucket, key, sqn FROM es")
@@ -90,15 +91,15 @@ _add("head_max_count", lambda s, d: folds.head_fold(_o(s, d), "o", buckets=["5-L
 _add("head_remaining", lambda s, d: folds.remaining(folds.head_fold(_o(s, d), "o", buckets=["3-MEDIUM"], start="0000000100", end="0000002000", max_count=5_000), 5_000), "SELECT 5000 - count(*) AS remaining, count(*) AS found FROM o WHERE bucket = '3-MEDIUM' AND key BETWEEN '0000000100' AND '0000002000'")
 _SEGMENTS = list(range(0, 32_768, 16))
 _add("head_segment_filter", lambda s, d: folds.head_fold(_o(s, d), "o", segments=_SEGMENTS).select("bucket", "key"), "SELECT bucket, key FROM oh WHERE (seg16 & 32767) % 16 = 0")
-_add("head_presence", lambda s, d: reads.present(state.ledger(_e(s, d), now=NOW), _e(s, d).filter("sqn % 4 <> 0")).select("bucket", "key", "sqn"), "SELECT bucket, key, sqn FROM ev WHERE sqn % 4 <> 0")
+_add("head_presence", lambda s, d: reads.present(state.index(_e(s, d), now=NOW), maintain.compact(_e(s, d))).select("bucket", "key", "sqn"), "SELECT ei.bucket, ei.key, ei.sqn FROM ei JOIN el ON ei.bucket = el.bucket AND ei.key = el.key AND ei.sqn = el.sqn")
 _add("estimate_count_segments", lambda s, d: folds.estimate_count(_o(s, d), "o", _SEGMENTS), "SELECT count(*) AS in_segments, count(*) * 16 AS estimate FROM oh WHERE (seg16 & 32767) % 16 = 0")
-_add("object_fold_key", lambda s, d: folds.object_fold(_e(s, d), "o_rkv", now=NOW), "SELECT sqn, bucket, key, value FROM ev")
-_add("object_fold_range", lambda s, d: folds.object_fold(_e(s, d), "o_rkv", bucket="view", start="00000010", end="00000090", now=NOW), "SELECT sqn, bucket, key, value FROM ev WHERE bucket = 'view' AND key BETWEEN '00000010' AND '00000090'")
-_add("object_fold_sqn", lambda s, d: folds.object_fold(_e(s, d), "o_rkv", order="sqn_order"), "SELECT sqn, bucket, key, value FROM el WHERE NOT is_tomb")
-_add("object_fold_index", lambda s, d: folds.object_fold_by_index(_e(s, d), "o_rkv", "view", "value_int", 5, 30, now=NOW), "SELECT term, key, sqn, value FROM ei WHERE bucket = 'view' AND term BETWEEN 5 AND 30")
-_add("object_fold_index_current", lambda s, d: folds.object_fold_by_index(_e(s, d), "o_rkv", "view", "value_int", 5, 30, version="current", now=NOW), "SELECT ei.term, ev.key, ev.sqn, ev.value FROM ei JOIN ev ON ei.bucket = ev.bucket AND ei.key = ev.key WHERE ei.bucket = 'view' AND ei.term BETWEEN 5 AND 30")
-_add("bucket_stats", lambda s, d: folds.bucket_stats(_e(s, d), "o_rkv", now=NOW), "SELECT bucket, CAST(sum(length(value)) AS BIGINT) AS total_size, count(*) AS n_objects FROM ev GROUP BY bucket")
-_add("hash_list", lambda s, d: folds.hash_list(_e(s, d), "o_rkv", now=NOW), f"SELECT bucket, key, {_HEX('value', 1, 8)} AS hash FROM ev")
+_add("object_fold_key", lambda s, d: folds.object_fold(_e(s, d), "o_rkv", now=NOW).selectExpr("sqn", "bucket", "key", _TEXT), "SELECT sqn, bucket, key, value FROM ev")
+_add("object_fold_range", lambda s, d: folds.object_fold(_e(s, d), "o_rkv", bucket="view", start="00000010", end="00000090", now=NOW).selectExpr("sqn", "bucket", "key", _TEXT), "SELECT sqn, bucket, key, value FROM ev WHERE bucket = 'view' AND key BETWEEN '00000010' AND '00000090'")
+_add("object_fold_sqn", lambda s, d: folds.object_fold(_e(s, d), "o_rkv", order="sqn_order").selectExpr("sqn", "bucket", "key", _TEXT), "SELECT sqn, bucket, key, value FROM el WHERE NOT is_tomb")
+_add("object_fold_index", lambda s, d: folds.object_fold_by_index(_e(s, d), "o_rkv", "view", "value_int", 5, 30, now=NOW).selectExpr("term", "key", "sqn", _TEXT), "SELECT term, key, sqn, value FROM ei WHERE bucket = 'view' AND term BETWEEN 5 AND 30")
+_add("object_fold_index_current", lambda s, d: folds.object_fold_by_index(_e(s, d), "o_rkv", "view", "value_int", 5, 30, version="current", now=NOW).selectExpr("term", "key", "sqn", _TEXT), "SELECT ei.term, ev.key, ev.sqn, ev.value FROM ei JOIN ev ON ei.bucket = ev.bucket AND ei.key = ev.key WHERE ei.bucket = 'view' AND ei.term BETWEEN 5 AND 30")
+_add("bucket_stats", lambda s, d: folds.bucket_stats(_e(s, d), "o_rkv", now=NOW).drop("bucket_type"), "SELECT bucket, CAST(sum(strlen(value)) AS BIGINT) AS total_size, count(*) AS n_objects FROM ev GROUP BY bucket")
+_add("hash_list", lambda s, d: folds.hash_list(_e(s, d), "o_rkv", now=NOW).select("bucket", "key", "hash"), f"SELECT bucket, key, {_HEX('value', 1, 8)} AS hash FROM ev")
 _add("fold_sum", lambda s, d: folds.aggregate(state.index(_o(s, d), where=F.col("field") == "o_custkey_int"), "sum_count", ("bucket",), F.col("term_i")), "SELECT bucket, CAST(sum(cterm) AS BIGINT) AS sum, count(*) AS count FROM o GROUP BY bucket")
 _add("fold_minmax_bucket", lambda s, d: folds.aggregate(state.ledger(_o(s, d)), "min_max_key", ("bucket",)), "SELECT bucket, min(key) AS min_key, max(key) AS max_key FROM o GROUP BY bucket")
 _add("fold_xor_count", lambda s, d: folds.aggregate(state.ledger(_o(s, d)), "xor_count", ("bucket",), F.col("hash")), 'SELECT bucket, bit_xor(hash) AS "xor", count(*) AS count FROM oh GROUP BY bucket')
@@ -127,21 +128,20 @@ _add("tree_merge", lambda s, d: merkle.merge(*[merkle.object_tree(state.ledger(_
 _add("tree_alter", lambda s, d: merkle.alter(merkle.object_tree(state.ledger(_o(s, d)), "xxsmall"), s.sql("SELECT * FROM VALUES (5, 99L), (6, 0L) AS t(segment, leaf)")), f"SELECT * FROM ({_tree_sql('xxsmall')}) WHERE segment NOT IN (5, 6) UNION ALL SELECT 5, 99")
 _add("segment_keys", lambda s, d: state.with_segment(state.ledger(_o(s, d))).filter(hashing.tree_segment(hashing.segment32(F.col("segment")), "xxsmall").isin(merkle.adjust_segments([3, 9], "xxsmall", "xxsmall"))).select("bucket", "key"), f"SELECT bucket, key FROM oh WHERE (({_SEG32}) & 4095) IN (3, 9)")
 _add("segment_resize", lambda s, d: state.with_segment(state.ledger(_o(s, d))).filter(hashing.tree_segment(hashing.segment32(F.col("segment")), "small").isin(merkle.adjust_segments([3, 9], "xsmall", "small"))).select("bucket", "key"), f"SELECT bucket, key FROM oh WHERE (({_SEG32}) & 16383) IN (3, 9)")
-_add("store_diff", lambda s, d: maintain.store_difference(state.ledger(_e(s, d), now=NOW), state.ledger(_e(s, d), sqn=_AT, now=NOW)).fillna(-1, ["in_a", "in_b"]), f"SELECT coalesce(a.bucket, b.bucket) AS bucket, coalesce(a.key, b.key) AS key, coalesce({_HEX('a.value', 1, 8)}, -1) AS in_a, coalesce({_HEX('b.value', 1, 8)}, -1) AS in_b FROM ev a FULL JOIN es b ON a.bucket = b.bucket AND a.key = b.key WHERE a.value IS DISTINCT FROM b.value")
+_add("store_diff", lambda s, d: maintain.store_difference(state.ledger(_e(s, d), now=NOW), state.ledger(_e(s, d), sqn=_AT, now=NOW)).fillna(-1, ["in_a", "in_b"]).select("bucket", "key", "in_a", "in_b"), f"SELECT coalesce(a.bucket, b.bucket) AS bucket, coalesce(a.key, b.key) AS key, coalesce({_HEX('a.value', 1, 8)}, -1) AS in_a, coalesce({_HEX('b.value', 1, 8)}, -1) AS in_b FROM ev a FULL JOIN es b ON a.bucket = b.bucket AND a.key = b.key WHERE a.value IS DISTINCT FROM b.value")
 _add("index_diff_recalc", lambda s, d: maintain.recalculate(tables.event_terms(s, d), "o_rkv").select("bucket", "key", "sqn", F.explode("index_specs").alias("x")).select("bucket", "key", "sqn", "x.op", F.col("x.term_i").alias("term")), """, v AS (SELECT *, CASE WHEN NOT is_tomb THEN term END AS new, lag(CASE WHEN NOT is_tomb THEN term END) OVER (PARTITION BY bucket, key ORDER BY sqn) AS old FROM e)
 SELECT bucket, key, sqn, 'add' AS op, new AS term FROM v WHERE new IS NOT NULL AND new IS DISTINCT FROM old UNION ALL SELECT bucket, key, sqn, 'remove', old FROM v WHERE old IS NOT NULL AND old IS DISTINCT FROM new""")
 _DECIDED = """, d AS (SELECT e.*, CASE WHEN el.sqn <= e.sqn OR e.sqn > 9000 THEN 'keep' WHEN NOT e.is_tomb THEN 'convert' ELSE 'keep' END AS decision FROM e JOIN el ON e.bucket = el.bucket AND e.key = el.key)
 """
 _add("compaction_decisions", lambda s, d: maintain.decisions(_e(s, d), persisted=9_000).select("sqn", "jtype", "decision"), _DECIDED + "SELECT sqn, CASE WHEN is_tomb THEN 'tomb' ELSE 'stnd' END AS jtype, decision FROM d")
 _add("compaction_discard", lambda s, d: maintain.compact(_e(s, d), strategies={"o_rkv": "recovr"}).select("sqn", "jtype"), "SELECT sqn, CASE WHEN is_tomb THEN 'tomb' ELSE 'stnd' END AS jtype FROM el")
-_add("compaction_score", lambda s, d: maintain.scores(_e(s, d), 1_000, persisted=9_000), _DECIDED + "SELECT sqn // 1000 AS file, CAST(sum(CASE WHEN decision = 'keep' THEN coalesce(length(value), 0) ELSE 0 END) AS BIGINT) AS active_bytes, CAST(sum(coalesce(length(value), 0)) AS BIGINT) AS total_bytes, CASE WHEN total_bytes = 0 THEN 100.0::DOUBLE ELSE 100.0::DOUBLE * active_bytes / total_bytes END AS score FROM d GROUP BY 1")
+_add("compaction_score", lambda s, d: maintain.scores(_e(s, d), 1_000, persisted=9_000), _DECIDED + "SELECT sqn // 1000 AS file, CAST(sum(CASE WHEN decision = 'keep' THEN coalesce(strlen(value), 0) ELSE 0 END) AS BIGINT) AS active_bytes, CAST(sum(coalesce(strlen(value), 0)) AS BIGINT) AS total_bytes, CASE WHEN total_bytes = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE * active_bytes / total_bytes END AS score FROM d GROUP BY 1")
 _add("compaction_keeps_answers", lambda s, d: state.index(maintain.compact(_e(s, d)), now=NOW).select("bucket", F.col("term_i").alias("term"), "key", "sqn"), "SELECT bucket, term, key, sqn FROM ei")
-_add("replay_ledger", lambda s, d: maintain.replay(_e(s, d), state.latest(state.object_changes(_e(s, d).filter(f"sqn <= {_AT}")), state.KEYS), _AT).select("bucket", "key", "sqn", "is_tomb"), "SELECT bucket, key, sqn, is_tomb FROM el")
+_add("replay_ledger", lambda s, d: maintain.replay(_e(s, d), state.latest(state.key_changes(_e(s, d).filter(f"sqn <= {_AT}")), state.KEYS), _AT).select("bucket", "key", "sqn", "is_tomb"), "SELECT bucket, key, sqn, is_tomb FROM el")
 _add("reap_ledger", lambda s, d: maintain.reap(state.ledger(_e(s, d), all_versions=True), NOW).select("bucket", "key", "sqn"), "SELECT bucket, key, sqn FROM ev")
 _add("trim_journal", lambda s, d: maintain.trim(tables.customers(s, d), 1).select("sqn", F.explode("object_specs").alias("x")).select("sqn", "x.op", "x.key"), "SELECT CAST(2 AS BIGINT) AS sqn, 'remove' AS op, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer WHERE c_custkey % 9 = 0")
-_add("heads_latest", lambda s, d: state.heads(tables.customers(s, d)).select("bucket", "key", "value"), "SELECT bucket, key, value FROM h")
-_add("heads_subkeys", lambda s, d: state.heads(tables.turns(s, d), where=F.col("key") <= "00000050").select("bucket", "key", "subkey", "lmd", "size"), "SELECT role AS bucket, lpad(CAST(conv_id AS VARCHAR), 8, '0') AS key, lpad(CAST(turn AS VARCHAR), 4, '0') AS subkey, greatest(conv_id, turn) AS lmd, length(text) AS size FROM conversations WHERE conv_id <= 50")
-_add("heads_subkeys_all", lambda s, d: state.heads(tables.turns(s, d)).select("bucket", "key", "subkey", "lmd", "size"), "SELECT role AS bucket, lpad(CAST(conv_id AS VARCHAR), 8, '0') AS key, lpad(CAST(turn AS VARCHAR), 4, '0') AS subkey, greatest(conv_id, turn) AS lmd, length(text) AS size FROM conversations")
+_add("heads_latest", lambda s, d: state.heads(tables.customers(s, d)).selectExpr("bucket", "key", _TEXT), "SELECT bucket, key, value FROM h")
+_add("heads_subkeys", lambda s, d: state.heads(tables.turns(s, d)).select("bucket", "key", "subkey", "lmd", "size"), "SELECT role AS bucket, lpad(CAST(conv_id AS VARCHAR), 8, '0') AS key, lpad(CAST(turn AS VARCHAR), 4, '0') AS subkey, greatest(conv_id, turn) AS lmd, strlen(text) AS size FROM conversations")
 _add("heads_xor_count", lambda s, d: folds.aggregate(state.heads(tables.customers(s, d)), "xor_count", ("bucket",), F.col("hash")), f'SELECT bucket, bit_xor({_HEX("value", 1, 8)}) AS "xor", count(*) AS count FROM h GROUP BY bucket')
 _add("sibling_terms", lambda s, d: _e(s, d).groupBy("bucket", "key").agg(F.collect_list(F.struct((F.col("jtype") == "tomb").alias("deleted"), F.transform("index_specs", lambda x: x["term_i"]).alias("index"))).alias("siblings")).select("bucket", "key", F.explode(tags.sibling_terms(F.col("siblings"))).alias("term")), "SELECT DISTINCT bucket, key, term FROM e WHERE NOT is_tomb")
 

@@ -44,11 +44,27 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events with all terms of each version in ``terms``, for recalculation."""
-    terms = F.when(F.col("event_id") % 7 != 0, F.array(F.struct(F.lit("value_int").alias("field"), F.lit(None).cast("string").alias("term_s"), F.floor("value").cast("long").alias("term_i"))))
-    ids = _table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("t_sqn"), terms.alias("terms"))
-    journal = events(spark, sf_dir)
-    return journal.join(ids, journal["sqn"] == ids["t_sqn"]).drop("t_sqn")
+    """The events with all terms of each version in ``terms``, for recalculation: an event's one spec is its term."""
+    terms = F.when(F.col("jtype") == "stnd", F.transform("index_specs", lambda s: F.struct(s["field"].alias("field"), s["term_s"].alias("term_s"), s["term_i"].alias("term_i"))))
+    return events(spark, sf_dir).withColumn("terms", terms)
+
+
+def baskets(spark: SparkSession, sf_dir: str, tag: str = "o") -> DataFrame:
+    """Customers' last orders, rewritten order by order, in plain buckets and in typed ones of the same name, with metadata, clocks, siblings and values beyond ASCII."""
+    date = unix_seconds(F.col("o_orderdate"))
+    status = F.col("o_orderstatus")
+    term = lambda field: F.struct(F.lit(field).alias("field"), F.lit(None).cast("string").alias("term_s"), F.col("o_custkey").cast("long").alias("term_i"))
+    sibling = lambda tag, deleted, lmd: F.struct(F.lit(tag).alias("vtag"), deleted.alias("deleted"), lmd.alias("lmd"), F.array(term(f"{tag}_int")).alias("index"))
+    tick = lambda actor, n: F.struct(F.lit(actor).alias("actor"), n.cast("long").alias("n"))
+    return conform(
+        _table(spark, sf_dir, "orders").select(
+            F.col("o_orderkey").alias("sqn"), F.lit(tag).alias("tag"), F.when(status == "F", "typed").alias("bucket_type"), F.col("o_orderpriority").alias("bucket"), F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("key"),
+            F.concat(F.lit("€ "), status, F.lit("|"), F.col("o_orderkey").cast("string")).alias("value"), F.create_map(F.lit("status"), status).alias("user_md"), date.alias("lmd"),
+            F.array(_spec(F.lit("add"), "year_bin", F.concat(F.lit("é"), F.date_format("o_orderdate", "yyyy")))).cast(SPECS).alias("index_specs"),
+            F.array(tick("b", F.col("o_orderkey") % 5), tick("a", F.col("o_custkey") % 7)).alias("vclock"),
+            F.array(sibling("x", F.lit(False), date), sibling("y", status == "F", date + 60)).alias("siblings"),
+        )
+    )
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,9 +40,9 @@ def test_every_sql_has_a_query():
 
 def test_whole_tables_are_asked(spark, duck):
     """Heads with subkeys of all conversations, and the currency of every event."""
-    counts = {name: entry.queries()[name](spark, SF).count() for name in ("heads_subkeys_all", "currency_check_all")}
-    assert counts == {"heads_subkeys_all": duck.execute("SELECT count(*) FROM conversations").fetchone()[0], "currency_check_all": duck.execute("SELECT count(*) FROM events").fetchone()[0]}
-    assert 0 < entry.queries()["multi_get_customers"](spark, SF).count() < duck.execute("SELECT count(*) FROM customer").fetchone()[0]
+    counts = {name: entry.queries()[name](spark, SF).count() for name in ("heads_subkeys", "currency_check")}
+    assert counts == {"heads_subkeys": duck.execute("SELECT count(*) FROM conversations").fetchone()[0], "currency_check": duck.execute("SELECT count(*) FROM events").fetchone()[0]}
+    assert 0 < entry.queries()["multi_get"](spark, SF).count() < duck.execute("SELECT count(*) FROM customer").fetchone()[0]
 
 
 def test_entry(spark):
