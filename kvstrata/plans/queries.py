@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvstrata.functions import hashing, tags
-from kvstrata.functions.clocks import GREGORIAN_EPOCH
+from kvstrata.functions.clocks import GREGORIAN_EPOCH, gregorian, unix_seconds
 from kvstrata.operators import folds, maintain, merkle, reads, state
 from kvstrata.sources import tables
 
@@ -36,7 +36,7 @@ es AS (SELECT * FROM (SELECT * FROM e WHERE sqn <= {_AT} QUALIFY row_number() OV
 ei AS (SELECT * FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY bucket, term, key ORDER BY sqn DESC) = 1) WHERE NOT is_tomb AND (expires_at IS NULL OR expires_at >= {NOW})),
 h AS (SELECT c_mktsegment AS bucket, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key, c_name AS value FROM customer WHERE c_custkey % 9 <> 0),
 b AS (
-  SELECT o_orderkey AS sqn, CASE WHEN o_orderstatus = 'F' THEN 'typed' END AS bucket_type, o_orderpriority AS bucket, lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS key, '€ ' || o_orderstatus || '|' || CAST(o_orderkey AS VARCHAR) AS value,
+  SELECT o_orderkey + 1 AS sqn, CASE WHEN o_orderstatus = 'F' THEN 'typed' END AS bucket_type, o_orderpriority AS bucket, lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS key, '€ ' || o_orderstatus || '|' || CAST(o_orderkey AS VARCHAR) AS value,
     o_orderstatus AS status, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS lmd, 'é' || strftime(o_orderdate, '%Y') AS term, o_custkey, o_orderkey FROM orders),
 bl AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY bucket_type, bucket, key ORDER BY sqn DESC) = 1),
 bi AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY bucket_type, bucket, key, term ORDER BY sqn DESC) = 1)
@@ -146,6 +146,79 @@ _add("heads_xor_count", lambda s, d: folds.aggregate(state.heads(tables.customer
 _add("sibling_terms", lambda s, d: _e(s, d).groupBy("bucket", "key").agg(F.collect_list(F.struct((F.col("jtype") == "tomb").alias("deleted"), F.transform("index_specs", lambda x: x["term_i"]).alias("index"))).alias("siblings")).select("bucket", "key", F.explode(tags.sibling_terms(F.col("siblings"))).alias("term")), "SELECT DISTINCT bucket, key, term FROM e WHERE NOT is_tomb")
 
 
+# buckets with types, metadata, bytes beyond ASCII and rewritten keys
+_b = tables.baskets
+_TYPED = ("typed", "1-URGENT")
+_KIND = "coalesce(bucket_type, '') AS bucket_type"
+_BKEY = "CASE WHEN bucket_type IS NULL THEN '-' ELSE strlen(bucket_type) || ':' || bucket_type END || strlen(bucket) || ':' || bucket || strlen(key) || ':' || key || '-'"
+_add("head_fold_typed", lambda s, d: folds.head_fold(_b(s, d), "o", buckets=[_TYPED, "2-HIGH"]).selectExpr(_KIND, "bucket", "key", "sqn", "size", "hash", "user_md['status'] AS status"), f"SELECT {_KIND}, bucket, key, sqn, strlen(value) AS size, {_HEX('value', 1, 8)} AS hash, status FROM bl WHERE bucket_type = 'typed' AND bucket = '1-URGENT' OR bucket_type IS NULL AND bucket = '2-HIGH'")
+_add("key_list_typed", lambda s, d: folds.key_list(_b(s, d), "o", _TYPED, start="00000100", end="00000900", ordered=True).select("bucket_type", "bucket", "key"), "SELECT bucket_type, bucket, key FROM bl WHERE bucket_type = 'typed' AND bucket = '1-URGENT' AND key BETWEEN '00000100' AND '00000900'")
+_add("bucket_list_typed", lambda s, d: folds.bucket_list(_b(s, d), "o", ordered=True).selectExpr(_KIND, "bucket"), f"SELECT DISTINCT {_KIND}, bucket FROM bl")
+_add("bucket_first_typed", lambda s, d: folds.bucket_list(_b(s, d), "o", first=True), "SELECT DISTINCT bucket_type, bucket FROM bl WHERE bucket_type = 'typed' ORDER BY bucket LIMIT 1")
+_add("bucket_stats_typed", lambda s, d: folds.bucket_stats(_b(s, d), "o").selectExpr(_KIND, "bucket", "total_size", "n_objects"), f"SELECT {_KIND}, bucket, CAST(sum(strlen(value)) AS BIGINT) AS total_size, count(*) AS n_objects FROM bl GROUP BY ALL")
+_add("index_range_typed", lambda s, d: folds.index_range(_b(s, d), _TYPED, "year_bin", "é1996", "é1998", ordered=True), "SELECT term, key FROM bi WHERE bucket_type = 'typed' AND bucket = '1-URGENT' AND term BETWEEN 'é1996' AND 'é1998'")
+_add("hash_list_typed", lambda s, d: folds.hash_list(_b(s, d), "o", check_presence=True).selectExpr(_KIND, "bucket", "key", "hash"), f"SELECT {_KIND}, bucket, key, {_HEX('value', 1, 8)} AS hash FROM bl")
+_add("object_fold_typed", lambda s, d: folds.object_fold(_b(s, d), "o", bucket=_TYPED, ordered=True).selectExpr("sqn", _KIND, "bucket", "key", _TEXT), f"SELECT sqn, {_KIND}, bucket, key, value FROM bl WHERE bucket_type = 'typed' AND bucket = '1-URGENT'")
+_add("object_fold_index_typed", lambda s, d: folds.object_fold_by_index(_b(s, d), "o", _TYPED, "year_bin", "é1995", "é1997").selectExpr("term", "key", "sqn", _TEXT), "SELECT term, key, sqn, value FROM bi WHERE bucket_type = 'typed' AND bucket = '1-URGENT' AND term BETWEEN 'é1995' AND 'é1997'")
+_add("currency_typed", lambda s, d: reads.currency(_b(s, d), _b(s, d).select("tag", "bucket_type", "bucket", "key", F.col("sqn").alias("asked_sqn"))).selectExpr(_KIND, "bucket", "key", "asked_sqn", "status"), "SELECT coalesce(b.bucket_type, '') AS bucket_type, b.bucket, b.key, b.sqn AS asked_sqn, CASE WHEN bl.sqn > b.sqn THEN 'replaced' ELSE 'current' END AS status FROM b JOIN bl ON b.bucket_type IS NOT DISTINCT FROM bl.bucket_type AND b.bucket = bl.bucket AND b.key = bl.key")
+_add("multi_get_typed", lambda s, d: reads.multi_get(_b(s, d), _customer_keys(s, d).withColumn("tag", F.lit("o")).withColumn("bucket", F.lit("1-URGENT")).withColumn("bucket_type", F.lit("typed"))).selectExpr("bucket", "key", "sqn", _TEXT), "SELECT bucket, key, sqn, value FROM bl WHERE bucket_type = 'typed' AND bucket = '1-URGENT'")
+_add("tree_typed", lambda s, d: merkle.object_tree(state.ledger(_b(s, d)), "small"), f"SELECT CAST(((({_HEX(_BKEY, 5, 8)} & 65535) << 16) | {_HEX(_BKEY, 1, 4)}) & 65535 AS INTEGER) AS segment, bit_xor(xor({_HEX(_BKEY, 13, 8)}, {_HEX('value', 1, 8)})) AS leaf FROM bl GROUP BY 1 HAVING leaf <> 0")
+_add("tree_partition", lambda s, d: merkle.object_tree(state.ledger(_b(s, d), where=F.col("key") < "00000700"), "xsmall"), f"SELECT CAST(((({_HEX(_BKEY, 5, 8)} & 65535) << 16) | {_HEX(_BKEY, 1, 4)}) & 16383 AS INTEGER) AS segment, bit_xor(xor({_HEX(_BKEY, 13, 8)}, {_HEX('value', 1, 8)})) AS leaf FROM bl WHERE key < '00000700' GROUP BY 1 HAVING leaf <> 0")
+_add("next_key", lambda s, d: reads.next_key(_b(s, d), "o", _TYPED, "00000200").select("bucket_type", "bucket", "key", "sqn"), "SELECT bucket_type, bucket, key, sqn FROM bl WHERE bucket_type = 'typed' AND bucket = '1-URGENT' AND key >= '00000200' ORDER BY key LIMIT 1")
+_add("proxy_fetch", lambda s, d: reads.fetch_proxies(reads.proxies(state.ledger(_b(s, d))).select("key", "proxy"), _b(s, d)).selectExpr("key", "proxy.sqn AS sqn", "proxy.size AS size", _TEXT), "SELECT key, sqn, strlen(value) AS size, value FROM bl")
+_add("journal_values", lambda s, d: _b(s, d).selectExpr("sqn", _TEXT, "octet_length(value) AS size", "crc32(value) AS crc"), None)
+_CLOCK = _HEX("'a:' || (o_custkey % 7) || ',b:' || (o_orderkey % 5)", 1, 8)
+_add("head_siblings", lambda s, d: folds.head_fold(_b(s, d, "o_rkv"), "o_rkv").selectExpr(_KIND, "bucket", "key", "hash", "lmd", "size(siblings) AS n_siblings", "vclock[1].n AS ticks"), f"SELECT {_KIND}, bucket, key, {_CLOCK} AS hash, lmd + 60 AS lmd, 2 AS n_siblings, o_custkey % 7 AS ticks FROM bl")
+_add("sibling_index_terms", lambda s, d: state.ledger(_b(s, d, "o_rkv")).select("bucket_type", "bucket", "key", F.explode(tags.sibling_terms(F.col("siblings"))).alias("t")).selectExpr(_KIND, "bucket", "key", "t.field AS field", "t.term_i AS term"), f"SELECT {_KIND}, bucket, key, field, o_custkey AS term FROM bl, (VALUES ('x_int', true), ('y_int', false)) AS f(field, always) WHERE always OR status <> 'F'")
+_add("head_lmd_siblings", lambda s, d: folds.head_fold(_b(s, d, "o_rkv"), "o_rkv", modified=(820_454_400 + 60, 852_076_800)).selectExpr(_KIND, "bucket", "key"), f"SELECT {_KIND}, bucket, key FROM bl WHERE lmd BETWEEN 820454400 AND 852076740")
+
+# folds over heads of batches
+_c = tables.customers
+_add("head_fold_heads", lambda s, d: folds.head_fold(_c(s, d), "h", buckets=["BUILDING", "MACHINERY"]).selectExpr("bucket", "key", "size", "CAST(head_value AS STRING) AS value"), "SELECT bucket, key, strlen(value) AS size, value FROM h WHERE bucket IN ('BUILDING', 'MACHINERY')")
+_add("key_list_heads", lambda s, d: folds.key_list(_c(s, d), "h").select("bucket", "key"), "SELECT bucket, key FROM h")
+_add("bucket_list_heads", lambda s, d: folds.bucket_list(_c(s, d), "h").select("bucket"), "SELECT DISTINCT bucket FROM h")
+_add("bucket_stats_heads", lambda s, d: folds.bucket_stats(_c(s, d), "h").drop("bucket_type"), "SELECT bucket, CAST(sum(strlen(value)) AS BIGINT) AS total_size, count(*) AS n_objects FROM h GROUP BY bucket")
+_add("hash_list_heads", lambda s, d: folds.hash_list(_c(s, d), "h").select("bucket", "key", "hash"), f"SELECT bucket, key, {_HEX('value', 1, 8)} AS hash FROM h")
+_add("tree_heads", lambda s, d: merkle.object_tree(state.ledger(_c(s, d)), "xsmall"), f"SELECT CAST(((({_HEX('bucket || key', 5, 8)} & 65535) << 16) | {_HEX('bucket || key', 1, 4)}) & 16383 AS INTEGER) AS segment, bit_xor(xor({_HEX('bucket || key', 13, 8)}, {_HEX('value', 1, 8)})) AS leaf FROM h GROUP BY 1 HAVING leaf <> 0")
+_add("head_segments_heads", lambda s, d: folds.head_fold(_c(s, d), "h", segments=_SEGMENTS).select("bucket", "key"), f"SELECT bucket, key FROM h WHERE ({_HEX('bucket || key', 1, 4)} & 32767) % 16 = 0")
+_add("head_only_get", lambda s, d: state.heads(_c(s, d), where=(F.col("tag") == "h") & state.bucket_is("BUILDING") & (F.col("key") >= "00000100")).selectExpr("bucket", "key", _TEXT), "SELECT bucket, key, value FROM h WHERE bucket = 'BUILDING' AND key >= '00000100'")
+_add("is_empty", lambda s, d: s.createDataFrame([(t, reads.is_empty(_c(s, d), t)) for t in ("h", "o")], "tag string, empty boolean"), "SELECT 'h' AS tag, count(*) = 0 AS empty FROM h UNION ALL SELECT 'o', true")
+
+# what folds gather
+_add("fold_bucket_set", lambda s, d: folds.aggregate(state.ledger(_e(s, d), now=NOW), "bucket_set").select(F.explode("buckets").alias("bucket")), "SELECT DISTINCT bucket FROM ev")
+
+
+def _until(row: dict, acc: dict) -> dict:
+    if row["key"] > "00000080":
+        raise StopIteration
+    return {"n": acc["n"] + 1, "last": row["key"]}
+
+
+_add("fold_early_stop", lambda s, d: folds.fold_groups(folds.key_list(_e(s, d), "o_rkv", now=NOW).select("bucket", "key"), ("bucket",), ("key",), _until, lambda: {"n": 0, "last": ""}, "bucket string, n long, last string"), "SELECT bucket, count(*) FILTER (WHERE key <= '00000080') AS n, coalesce(max(key) FILTER (WHERE key <= '00000080'), '') AS last FROM ev GROUP BY bucket")
+_add("fold_sequential", lambda s, d: s.createDataFrame([(folds.fold(folds.bucket_list(_e(s, d), "o_rkv", now=NOW), ("bucket",), lambda row, acc: f"{acc}/{row['bucket']}", ""),)], "buckets string"), "SELECT '/' || string_agg(bucket, '/' ORDER BY bucket) AS buckets FROM (SELECT DISTINCT bucket FROM ev)")
+
+# trees and segments
+_add("tree_export", lambda s, d: merkle.import_tree(s, merkle.export_tree(merkle.object_tree(state.ledger(_o(s, d)), "xsmall"), "xsmall"))[1], _tree_sql("xsmall"))
+_add("tree_sizes", lambda s, d: s.createDataFrame([(n, hashing.TREE_SIZES.get(n, 0) * 256, merkle.valid_size(n)) for n in ("xxsmall", "xsmall", "small", "medium", "large", "xlarge", "huge")], "size string, leaves long, valid boolean"), "SELECT * FROM (VALUES ('xxsmall', 4096::BIGINT, true), ('xsmall', 16384, true), ('small', 65536, true), ('medium', 262144, true), ('large', 1048576, true), ('xlarge', 4194304, true), ('huge', 0, false)) AS t(size, leaves, valid)")
+_add("tree_new", lambda s, d: merkle.merge(merkle.new_tree(s), merkle.object_tree(state.ledger(_o(s, d)), "xxsmall")), _tree_sql("xxsmall"))
+_add("segment_filters", lambda s, d: s.createDataFrame([(size, n, x) for size in ("xxsmall", "xsmall", "small") for n in (2, 5) for x in merkle.segment_filter(list(range(n)), size) or []], "size string, n long, segment long"), "SELECT size, n, segment FROM (SELECT 'xsmall' AS size, 2::BIGINT AS n, a.range + b.x AS segment FROM range(2) a, (VALUES (0), (16384), (32768), (49152)) AS b(x) UNION ALL SELECT 'small', n.n, r.range FROM (VALUES (2::BIGINT), (5)) AS n(n), range(5) r WHERE r.range < n.n)")
+_add("segment_match", lambda s, d: s.createDataFrame([(a, b, merkle.match_segment((a, "xxsmall"), (b, "xsmall"))) for a in range(0, 4_096, 512) for b in range(0, 16_384, 512)], "a long, b long, same boolean"), "SELECT a.range AS a, b.range AS b, a.range & 4095 = b.range & 4095 AS same FROM range(0, 4096, 512) a, range(0, 16384, 512) b")
+_add("segment_join", lambda s, d: s.createDataFrame([(b, l, merkle.join_segment(b, l)) for b in range(0, 64, 3) for l in range(0, 256, 17)], "branch long, leaf long, segment long"), "SELECT b.range AS branch, l.range AS leaf, b.range * 256 + l.range AS segment FROM range(0, 64, 3) b, range(0, 256, 17) l")
+
+# scalar functions
+_add("magic_hash", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", hashing.magic_hash(F.transform(F.filter(F.split("c_name", ""), lambda c: c != ""), lambda c: F.ascii(c))).alias("hash")), "SELECT c_custkey, list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor((a * 33) & 4294967295, b)) AS hash FROM customer")
+_add("clocks", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", unix_seconds(F.col("ts")).alias("unix"), gregorian(unix_seconds(F.col("ts"))).alias("gregorian")), f"SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS unix, CAST(floor(epoch(ts)) AS BIGINT) + {GREGORIAN_EPOCH} AS gregorian FROM events")
+_add("canonical_keys", lambda s, d: state.ledger(_b(s, d)).selectExpr("*").select(tags.canonical_keys(F.col("tag"), *[F.col(k) for k in state.KEYS[1:]]).alias("canonical"), "sqn"), f"SELECT {_BKEY} AS canonical, sqn FROM bl")
+
+
+def _own_tag(s: SparkSession, d: str) -> DataFrame:
+    tags.register("recovered", strategy="recovr")
+    return maintain.decisions(_e(s, d).withColumn("tag", F.lit("recovered"))).select("sqn", "decision")
+
+
+_add("compaction_registered_tag", _own_tag, "SELECT e.sqn, CASE WHEN el.sqn = e.sqn THEN 'keep' ELSE 'discard' END AS decision FROM e JOIN el ON e.bucket = el.bucket AND e.key = el.key")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

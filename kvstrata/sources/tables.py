@@ -58,7 +58,7 @@ def baskets(spark: SparkSession, sf_dir: str, tag: str = "o") -> DataFrame:
     tick = lambda actor, n: F.struct(F.lit(actor).alias("actor"), n.cast("long").alias("n"))
     return conform(
         _table(spark, sf_dir, "orders").select(
-            F.col("o_orderkey").alias("sqn"), F.lit(tag).alias("tag"), F.when(status == "F", "typed").alias("bucket_type"), F.col("o_orderpriority").alias("bucket"), F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("key"),
+            (F.col("o_orderkey") + 1).alias("sqn"), F.lit(tag).alias("tag"), F.when(status == "F", "typed").alias("bucket_type"), F.col("o_orderpriority").alias("bucket"), F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("key"),
             F.concat(F.lit("€ "), status, F.lit("|"), F.col("o_orderkey").cast("string")).alias("value"), F.create_map(F.lit("status"), status).alias("user_md"), date.alias("lmd"),
             F.array(_spec(F.lit("add"), "year_bin", F.concat(F.lit("é"), F.date_format("o_orderdate", "yyyy")))).cast(SPECS).alias("index_specs"),
             F.array(tick("b", F.col("o_orderkey") % 5), tick("a", F.col("o_custkey") % 7)).alias("vclock"),
