@@ -7,10 +7,13 @@ Two deterministic machines stand behind it.
 * The counter reads the bytes of a piece. A state holds, for every suffix of what was read that may still grow
   into a token, its trie node, the last token before it, and the difference in counts; each transition is
   annotated with the number of tokens it adds (less than zero where a byte joins earlier tokens into one).
-  States and transitions are compiled when first met; both are bounded.
+  States and transitions are compiled when first met; both are bounded. A piece starts in state 0.
 
-Long texts are cut into chunks. The map of a chunk sends the pending piece at its start to a count and the pending
-piece at its end; it is kept as (head, count, tail) and such maps compose associatively by a parallel prefix scan.
+Every text is cut into chunks of CHUNK characters. A chunk is a map of the counter's states: from the state at its start to
+that at its end and the tokens added on the way. Where a piece starts in the chunk the end state is one and the same, and
+only the bytes before it act on the state that comes in. The maps of a text compose by an associative operation, pairs of
+neighbours at a time; no text is read twice, as composition lets a chunk's first bytes act on the state before them.
+Counts of whole pieces, sums of annotations from state 0, are remembered.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,9 @@ from kvstrata.llm.bpe import groups
 from kvstrata.llm.common import ship, tokenizer_path
 
 #: Characters of a chunk.
-CHUNK = 1 << 19
+CHUNK = 4096
+#: Characters split together, about; a longer text is split in strips, with _HALO characters on both sides.
+STRIP = 1 << 19
 #: States compiled at most; then compiling starts anew.
 STATES = 200_000
 #: Counts of pieces kept in a worker.
@@ -179,16 +185,33 @@ class Counter:
         move = self.moves[state][byte] = (number, added)
         return move
 
-    def count(self, piece: bytes) -> int:
-        """Tokens of one piece: the sum of the annotations along its path."""
-        if len(self.states) > STATES:
-            self._clear()
-        state = total = 0
-        moves = self.moves
-        for byte in piece:
+    def act(self, state: int, word: bytes) -> tuple[int, int]:
+        """The state that a word leads to, and the sum of the annotations on the way."""
+        total, moves = 0, self.moves
+        for byte in word:
             state, added = moves[state].get(byte) or self._compile(state, byte)
             total += added
-        return total
+        return state, total
+
+    def renew(self, state: int = 0) -> int:
+        """Start compiling anew if there are too many states; the number that the given state has then."""
+        if len(self.states) <= STATES:
+            return state
+        entry = self.states[state]
+        self._clear()
+        if entry not in self.number:
+            self.number[entry] = len(self.states)
+            self.states.append(entry)
+            self.moves.append({})
+        return self.number[entry]
+
+
+class StateMap(NamedTuple):
+    """What a stretch of text does to a state: ``head`` acts on it; then, if a piece starts, it counts ``count`` and ends in the state ``exit`` (-1: no piece starts)."""
+
+    head: bytes
+    count: int
+    exit: int
 
 
 class Compiled:
@@ -207,55 +230,89 @@ class Compiled:
         self.counter = Counter(merges, [bytes([b]) for b in range(256)])
         self.known: dict[str, int] = {"": 0}
 
-    def pieces(self, text: str, ends: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
-        """The pieces of a text and the places where they start; at the places in ``ends`` texts end, and such a place is a piece of its own."""
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        kinds = self.splitter.classify(codes)
-        if ends is not None:
-            kinds[ends] = _END
-        at = np.flatnonzero(self.splitter.starts(codes, kinds))
-        bounds = at.tolist()
-        return [text[a:b] for a, b in zip(bounds, [*bounds[1:], len(text)], strict=True)], at
-
-    def count_piece(self, piece: str) -> int:
-        if (n := self.known.get(piece)) is None:
-            n = self.counter.count(piece.encode())
-            if len(piece) <= 64:
-                self.known[piece] = n
-        return n
-
-    def chunk_map(self, text: str, a: int, b: int) -> tuple[str, int, str | None]:
-        """The map of text[a:b]: (head, count, tail), or (all of it, 0, None) if no piece starts in it."""
-        lo, hi = max(0, a - _HALO), min(len(text), b + _HALO)
-        codes = np.frombuffer(text[lo:hi].encode("utf-32-le"), np.uint32)
-        starts = np.flatnonzero(self.splitter.starts(codes, self.splitter.classify(codes)))
-        at = (starts[(starts >= a - lo) & (starts < b - lo)] + lo).tolist()
-        if not at:
-            return text[a:b], 0, None
-        inner = sum(self.count_piece(text[x:y]) for x, y in zip(at, at[1:], strict=False))
-        return text[a : at[0]], inner, text[at[-1] : b]
-
-    def compose(self, f: tuple[str, int, str | None], g: tuple[str, int, str | None]) -> tuple[str, int, str | None]:
+    def compose(self, f: StateMap, g: StateMap) -> StateMap:
         """The map that does f and then g."""
-        if f[2] is None:
-            return f[0] + g[0], g[1], g[2]
-        if g[2] is None:
-            return f[0], f[1], f[2] + g[0]
-        return f[0], f[1] + self.count_piece(f[2] + g[0]) + g[1], g[2]
+        if f.exit < 0:
+            return StateMap(f.head + g.head, g.count, g.exit)
+        state, added = self.counter.act(f.exit, g.head)
+        return StateMap(f.head, f.count + added + g.count, state if g.exit < 0 else g.exit)
 
-    def scan(self, maps: list[tuple[str, int, str | None]]) -> tuple[str, int, str | None]:
+    def scan(self, maps: list[StateMap]) -> StateMap:
         """All maps composed in order, pairs of neighbours at a time."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return maps[0]
 
-    def count_long(self, text: str, chunk: int = CHUNK) -> int:
-        head, count, tail = self.scan([self.chunk_map(text, a, min(a + chunk, len(text))) for a in range(0, len(text), chunk)] or [("", 0, None)])
-        return self.count_piece(head) + count + self.count_piece(tail or "")
+    def maps(self, windows: list[tuple[str, int, int]], chunk: int) -> list[StateMap]:
+        """The map of each window (text, start, end), all split together."""
+        parts, begin, end, at = [], [], [], 0
+        for text, a, b in windows:
+            lo, hi = max(0, a - _HALO), min(len(text), b + _HALO)
+            parts.append(text[lo:hi])
+            begin.append(at + a - lo)
+            end.append(at + b - lo)
+            at += hi - lo + 1
+        whole = "\n".join([*parts, ""])
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        kinds = self.splitter.classify(codes)
+        kinds[np.cumsum([len(x) + 1 for x in parts]) - 1] = _END  # a text ends there
+        starts = np.flatnonzero(self.splitter.starts(codes, kinds))
+        edges = [x for a, b in zip(begin, end, strict=True) for x in [*range(a, b, chunk), b]]
+        first = np.searchsorted(starts, edges).tolist()
+        bounds = [*starts.tolist(), len(whole)]
+        pieces = [whole[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+        counts = np.concatenate([[0], np.cumsum(self._counts(pieces))])
+        out, k = [], 0
+        for a, b in zip(begin, end, strict=True):
+            own = []
+            for x in range(a, b, chunk):
+                y, i, j = min(x + chunk, b), first[k], first[k + 1]
+                k += 1
+                if i == j:
+                    own.append(StateMap(whole[x:y].encode(), 0, -1))
+                else:
+                    state, added = self.counter.act(0, whole[bounds[j - 1] : y].encode())
+                    own.append(StateMap(whole[x : bounds[i]].encode(), int(counts[j - 1] - counts[i]) + added, state))
+            k += 1
+            out.append(self.scan(own) if own else StateMap(b"", 0, -1))
+        return out
+
+    def _counts(self, pieces: list[str]) -> np.ndarray:
+        known, act = self.known, self.counter.act
+        new = set(pieces) - known.keys()
+        if len(known) + len(new) > CACHE:
+            keep = {p: known[p] for p in set(pieces) & known.keys() if len(p) <= 64}
+            known.clear()
+            known.update(keep)
+        for p in new:
+            known[p] = act(0, p.encode())[1]
+        counts = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        for p in new:
+            if len(p) > 64:  # long pieces are not remembered
+                del known[p]
+        return counts
 
-    def count(self, texts: list[str], chunk: int = CHUNK) -> list[int]:
+    def count(self, texts: list[str], chunk: int = CHUNK, strip: int = STRIP) -> list[int]:
         """Tokens of each text; a special token's string in a text is one token."""
-        owners, parts, out = [], [], [0] * len(texts)
+        out = [0] * len(texts)
+        held: list[tuple[int, str, int, int]] = []
+        size, open_ = 0, StateMap(b"", 0, -1)  # of the segment whose end is still to come
+
+        def flush() -> None:
+            nonlocal size, open_
+            if not held:
+                return
+            state = self.counter.renew(max(open_.exit, 0))
+            if open_.exit >= 0:
+                open_ = open_._replace(exit=state)
+            for (i, text, _, b), found in zip(held, self.maps([h[1:] for h in held], chunk), strict=True):
+                open_ = self.compose(open_, found)
+                if b == len(text):
+                    out[i] += self.counter.act(0, open_.head)[1] + open_.count
+                    open_ = StateMap(b"", 0, -1)
+            held.clear()
+            size = 0
+
         for i, t in enumerate(texts):
             segments = [t]
             for s in self.special:
@@ -263,30 +320,13 @@ class Compiled:
                     segments = [y for x in segments for y in x.split(s)]
             out[i] = len(segments) - 1
             for x in segments:
-                if len(x) > chunk:
-                    out[i] += self.count_long(x, chunk)
-                else:
-                    owners.append(i)
-                    parts.append(x)
-        if not parts:
-            return out
-        whole = "\n".join([*parts, ""])
-        ends = np.cumsum([len(x) + 1 for x in parts]) - 1
-        pieces, at = self.pieces(whole, ends)
-        known = self.known
-        new = set(pieces) - known.keys()
-        if len(known) + len(new) > CACHE:
-            keep = {p: known[p] for p in set(pieces) & known.keys()}
-            known.clear()
-            known.update(keep)
-        count = self.counter.count
-        for p in new:
-            known[p] = count(p.encode())
-        counts = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        counts[np.isin(at, ends)] = 0
-        total = np.add.reduceat(counts, np.r_[0, np.flatnonzero(np.isin(at, ends))[:-1] + 1]) if len(pieces) else []
-        for i, n in zip(owners, np.asarray(total).tolist(), strict=True):
-            out[i] += n
+                for a in range(0, len(x), strip):
+                    b = min(a + strip, len(x))
+                    held.append((i, x, a, b))
+                    size += b - a
+                    if size >= strip:
+                        flush()
+        flush()
         return out
 
 
@@ -296,7 +336,12 @@ def compiled(path: str) -> Compiled:
 
 
 def count_tokens(df: DataFrame, ident: str, text: str, path: str, limit: int) -> DataFrame:
-    """Per row: ident, n_bytes, n_tokens, over_limit. A null text is empty and has no tokens."""
+    """Per row: ident, n_bytes, n_tokens, over_limit.
+
+    A null text is empty and has no tokens. Very long texts are split in strips, so a task holds some bytes for each character
+    of a text; each is counted whole. Repeated rows stay, an empty table gives an empty one, a null identifier stays null, and
+    other columns are not looked at.
+    """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,4 +357,5 @@ def count_tokens(df: DataFrame, ident: str, text: str, path: str, limit: int) ->
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit (more than 512 tokens) of every document, as ``count_tokens`` gives them."""
     return count_tokens(docs, "doc_id", "text", path or tokenizer_path("byte_bpe_50k.json"), 512)

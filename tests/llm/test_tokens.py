@@ -54,32 +54,44 @@ def test_counts(docs, library):
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n, n > 512), t[:80]
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 7, 64])
-def test_chunk_maps_compose(chunk, library):
+@pytest.mark.parametrize(("chunk", "strip"), [(1, 50), (2, 3), (7, 10_000), (64, 100), (64, 1 << 19)])
+def test_chunk_maps_compose(chunk, strip, library):
     machine = token_counts.compiled(P.path(JSON))
-    for t in (x or "" for x in texts(30)):
-        if "<|" not in t and len(t) < 2_000:
-            assert machine.count([t], chunk)[0] == len(library.encode(t, add_special_tokens=False).ids)
+    every = [x or "" for x in texts(30)]
+    assert machine.count(every, chunk, strip) == [len(library.encode(t, add_special_tokens=False).ids) for t in every]
+
+
+def test_small_chunks_on_the_registered_path(docs, library, monkeypatch):
+    """With chunks of 64 characters nearly every text of the query is a composition of maps."""
+    monkeypatch.setattr(token_counts.Compiled.count, "__defaults__", (64, 200))
+    machine = token_counts.Compiled(P.path(JSON))
+    seen = []
+    compose = machine.compose
+    machine.compose = lambda f, g: seen.append(1) or compose(f, g)
+    every = [t or "" for t in texts()]
+    assert machine.count(every) == [len(library.encode(t, add_special_tokens=False).ids) for t in every]
+    assert len(seen) > sum(len(t) // 64 for t in every)
 
 
 def test_compose_is_associative():
     machine = token_counts.compiled(P.path(JSON))
-    text = "we'll see  if it's\n\n fine 123abc, or not"
-    maps = [machine.chunk_map(text, a, a + 5) for a in range(0, len(text), 5)]
+    text = "we'll see  if it's\n\n fine 123abc, or not " + "unbroken" * 9
+    maps = machine.maps([(text, a, min(a + 5, len(text))) for a in range(0, len(text), 5)], 5)
+    assert any(m.exit < 0 for m in maps) and any(m.exit >= 0 for m in maps)
     left = maps[0]
     for m in maps[1:]:
         left = machine.compose(left, m)
     right = maps[-1]
     for m in reversed(maps[:-1]):
         right = machine.compose(m, right)
-    assert left == right == machine.scan(list(maps))
+    assert left == right == machine.scan(list(maps)) == machine.maps([(text, 0, len(text))], 5)[0]
 
 
 def test_few_states(monkeypatch, library):
     monkeypatch.setattr(token_counts, "STATES", 50)
     machine = token_counts.Compiled(P.path(JSON))
-    for t in ("internationalisation of thoughtfulness", "abcdefghijklmnop qrstuv"):
-        assert machine.count([t])[0] == len(library.encode(t, add_special_tokens=False).ids)
+    for t in ("internationalisation of thoughtfulness", "abcdefghijklmnop qrstuv", "antidisestablishmentarianism" * 20):
+        assert machine.count([t, t], 4, 9) == [len(library.encode(t, add_special_tokens=False).ids)] * 2
 
 
 def test_encoding(docs, tik):
