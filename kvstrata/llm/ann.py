@@ -1,12 +1,14 @@
 """Nearest neighbours by additive quantisation.
 
 A vector's direction is approximated by a sum of one codeword from each of several full-dimensional codebooks; its norm
-is stored beside the codes. Codebooks start as k-means of what earlier ones leave over and are then fitted
-jointly by least squares, one after another; codes are found by beam search. A query makes a table of its products
-with all codewords, scores all codes by adding up table entries, and the best of each batch are ranked again by exact
+is stored beside the codes. Codebooks start as k-means of what earlier ones leave over; then, in turn, codes are found anew and
+all codewords are fitted together by least squares. Codes are found by beam search. A query makes a table of its products
+with all codewords, scores codes by adding up table entries, and the best of each batch are ranked again by exact
 products.
 
-Every valid row is indexed. Queries go out in blocks of bounded size, each against all rows.
+Every valid row is indexed, and the index is written once. Queries and index are dealt into blocks and slices of bounded
+size; one job lets every block meet every slice, and merges the best of the slices. Vectors are compared with those of
+their own length; the codebooks have as many dimensions as the longest of the sample, and shorter vectors use the first ones.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from kvstrata.llm.common import materialize, ship
 #: Vectors from which the codebooks are learned, at most.
 SAMPLE = 16_384
 BOOKS, WORDS, BEAM = 16, 256, 4
-ROUNDS, SWEEPS = 1, 3
-#: Candidates of each batch that are scored exactly, for each query.
+#: Times that codes are found and codewords fitted in turn, and steps of conjugate gradients of a fit.
+ROUNDS, STEPS = 2, 12
+#: Candidates of each batch that are scored exactly, for each query; never fewer than four times the neighbours asked for.
 SHORTLIST = 320
-#: Queries sent out together, about; indexed vectors of one task, about.
+#: Queries of one block, about; indexed vectors of one slice, about.
 QUERIES, SLICE = 8_192, 8_192
 _TABLE = 512
 
@@ -67,9 +70,40 @@ def _encode(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
     return codes[np.arange(n), (rest**2).sum(2).argmin(axis=1)]
 
 
+def fit(x: np.ndarray, codes: np.ndarray, books: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """The codewords of all books (books, words, d) that together come nearest to x by least squares, with the codes held.
+
+    Conjugate gradients on the normal equations, from the given codewords on; a codeword that no code uses stays.
+    """
+    m, k, d = books.shape
+    order = [np.argsort(codes[:, j], kind="stable") for j in range(m)]
+    used = [np.unique(codes[o, j], return_index=True) for j, o in enumerate(order)]
+
+    def sums(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((m, k, d))
+        for j in range(m):
+            out[j][used[j][0]] = np.add.reduceat(rows[order[j]], used[j][1], axis=0)
+        return out
+
+    decoded = lambda words: sum(words[j][codes[:, j]] for j in range(m))
+    words = books.astype(np.float64)
+    rest = sums(x - decoded(words))
+    step, size = rest.copy(), (rest**2).sum()
+    for _ in range(steps):
+        if size <= 1e-12:
+            break
+        moved = sums(decoded(step))
+        share = size / (step * moved).sum()
+        words += share * step
+        rest -= share * moved
+        size, before = (rest**2).sum(), size
+        step = rest + size / before * step
+    return words
+
+
 def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """Codebooks (books, words, d) learned from the rows of x."""
-    rng, (n, d) = np.random.default_rng(seed), x.shape
+    rng, n = np.random.default_rng(seed), len(x)
     k, rest, found = min(words, n), x.astype(np.float64), []
     for _ in range(books):
         centres = _kmeans(rest, k, rng)
@@ -77,16 +111,7 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = R
         found.append(centres)
     out = np.stack(found)
     for _ in range(rounds):
-        codes = encode(x, out).astype(np.int64)
-        rest = x - sum(out[j][codes[:, j]] for j in range(books))
-        for _ in range(SWEEPS):  # with the codes held, the least-squares codewords of one book are means of what the others leave
-            for j in range(books):
-                rest += out[j][codes[:, j]]
-                counts, sums = np.bincount(codes[:, j], minlength=k), np.zeros((k, d))
-                np.add.at(sums, codes[:, j], rest)
-                used = counts > 0
-                out[j][used] = sums[used] / counts[used, None]
-                rest -= out[j][codes[:, j]]
+        out = fit(x, encode(x, out).astype(np.int64), out)
     return out.astype(np.float32)
 
 
@@ -117,97 +142,143 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
+def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """The stretches of equal neighbouring rows."""
+    change = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    cut = [0, *np.flatnonzero(change).tolist(), len(change)]
+    return list(zip(cut, cut[1:], strict=False)) if len(change) else []
+
+
 def build(df: DataFrame, ident: str, vec: str) -> tuple[DataFrame, np.ndarray] | None:
-    """The index (id, vec, codes, norm) of all valid rows, and the codebooks; None if there is no valid row.
+    """The index (row, id, vec, codes, norm) of all valid rows, and the codebooks; None if there is no valid row.
 
-    A null identifier, and a vector of another length than most of the sample's, take no part. An identifier that
-    repeats counts once, with the smallest of its vectors.
+    A null identifier takes no part. Repeated rows are rows of their own, with different numbers ``row``.
     """
     spark = df.sparkSession
     ship(spark)
     valid = df.filter(F.col(ident).isNotNull() & _valid(vec)).select(F.col(ident).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-    rows = materialize(valid.groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()["vec"]
+    rows = materialize(valid.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    sample = rows.orderBy(F.xxhash64("id", "row"), "row").limit(SAMPLE).select("vec").toPandas()["vec"]
     if not len(sample):
         return None
-    sizes = np.bincount([len(v) for v in sample])
-    d = int(sizes.argmax())
-    x = np.stack([v for v in sample if len(v) == d])
+    x = np.zeros((len(sample), max(map(len, sample))))
+    for to, v in zip(x, sample, strict=True):
+        to[: len(v)] = v
     books = train(x / np.linalg.norm(x, axis=1, keepdims=True))
     shared = spark.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1), d)
-            norms = np.linalg.norm(v, axis=1)
-            codes = encode(v / norms[:, None], shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["id", "vec", "codes", "norm"])
-
-    return materialize(rows.filter(F.size("vec") == d).mapInArrow(run, "id long, vec array<double>, codes binary, norm double"), "index"), books
+            codes, norms = np.zeros((batch.num_rows, len(shared.value)), np.uint8), np.zeros(batch.num_rows)
+            for a, b in _runs(batch.column(2).value_lengths().to_numpy()):
+                part = batch.column(2).slice(a, b - a)
+                d = len(part[0])
+                v = _matrix(part, d)
+                norms[a:b] = np.linalg.norm(v, axis=1)
+                width = min(d, shared.value.shape[2])
+                codes[a:b] = encode(v[:, :width] / norms[a:b, None], shared.value[:, :, :width])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["row", "id", "vec", "codes", "norm"])
+
+    return materialize(rows.select("row", "id", "vec").mapInArrow(run, "row long, id long, vec array<double>, codes binary, norm double"), "index"), books
+
+
+class _Best:
+    """The best candidates of a block of queries so far."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.rows, self.ids, self.vectors, self.k = rows, ids, vectors, k
+        self.found, self.scores = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -np.inf)
+
+    def meet(self, ids: np.ndarray, v: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray) -> None:
+        """Score a batch of candidates by the tables, and its best ones exactly.
+
+        Of equal vectors only those of the k + 1 smallest identifiers are scored: no other can be an answer.
+        """
+        order = np.argsort(ids, kind="stable")
+        ids, v = ids[order], np.ascontiguousarray(v[order])
+        _, same = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).reshape(-1), return_inverse=True)
+        by = np.argsort(same, kind="stable")
+        group, names = same[by], ids[by]
+        first = np.r_[True, group[1:] != group[:-1]]
+        different = np.cumsum(first | np.r_[True, names[1:] != names[:-1]])
+        place = np.empty(len(by), np.int64)
+        place[by] = different - different[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        live = place <= self.k
+        ids, v, codes, norms = ids[live], v[live], codes[order][live], norms[order][live]
+        width = min(v.shape[1], books.shape[2])
+        near = scan(self.vectors[:, :width], books[:, :, :width], codes, norms, max(SHORTLIST, 4 * self.k))
+        for a in range(0, len(self.ids), _TABLE):
+            part = slice(a, a + _TABLE)
+            at = near[part]
+            score = np.einsum("qd,qnd->qn", self.vectors[part], v[at])
+            score[ids[at] == self.ids[part, None]] = -np.inf
+            i, s = np.concatenate([self.found[part], ids[at]], 1), np.concatenate([self.scores[part], score], 1)
+            best = np.lexsort((i, -s), axis=1)[:, : self.k]
+            self.found[part], self.scores[part] = np.take_along_axis(i, best, 1), np.take_along_axis(s, best, 1)
+
+    def batch(self) -> pa.RecordBatch:
+        some = np.isfinite(self.scores)
+        wide = lambda x: pa.array(np.broadcast_to(x[:, None], some.shape)[some])
+        return pa.RecordBatch.from_arrays([wide(self.rows), wide(self.ids), pa.array(self.found[some]), pa.array(self.scores[some])], names=["row", "query_id", "vec_id", "score"])
 
 
 def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row (id, vec) of queries the k best other rows of the index found.
+    """query_id, rank, vec_id, score: for each row (row, id, vec) of queries the k best rows found of its length with another id.
 
-    Scores are exact products in double precision, ties go to the smaller id. Equal vectors beyond k + 1 copies in a
-    batch are not scored again: only the k + 1 smallest identifiers among them can be an answer.
+    Scores are exact products in double precision, ties go to the smaller id.
     """
     spark = index.sparkSession
     ship(spark)
-    d = books.shape[2]
-    n, asked = index.count(), queries.count()
-    slices, blocks = max(1, -(-n // SLICE)), max(1, -(-asked // QUERIES))
+    slices, blocks = max(1, -(-index.count() // SLICE)), max(1, -(-queries.count() // QUERIES))
     shared = spark.sparkContext.broadcast(books)
-    table = index.repartition(slices, "id")
-    out = None
-    for block in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "vec").toPandas()
-        if not len(rows):
-            continue
-        sent = spark.sparkContext.broadcast((rows["id"].to_numpy(np.int64), np.stack(rows["vec"])))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, q = sent.value
-            top_id, top = np.full((len(q), 0), -1, np.int64), np.full((len(q), 0), -np.inf)
-            for batch in batches:
-                if not batch.num_rows:
+    size, none = F.size("vec").alias("d"), F.lit(None)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    asked = queries.select(size, each(slices).alias("slice"), place(blocks).alias("block"), F.lit(0).alias("kind"), "row", "id", "vec", none.cast("binary").alias("codes"), none.cast("double").alias("norm"))
+    table = index.select(size, place(slices).alias("slice"), each(blocks).alias("block"), F.lit(1).alias("kind"), "row", "id", "vec", "codes", "norm")
+    key = ["d", "slice", "block"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slices * blocks)
+    dealt = asked.unionByName(table).repartition(tasks, *key).sortWithinPartitions(*key, "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        held: list[tuple] = []  # the queries of the block, until its candidates come
+        best: _Best | None = None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
+            for a, b in _runs(*columns[:4]):
+                d, slice_, block, kind = (int(c[a]) for c in columns[:4])
+                if (d, slice_, block) != at:
+                    if best is not None:
+                        yield best.batch()
+                    at, held, best = (d, slice_, block), [], None
+                rows, ids, v = columns[4][a:b], columns[5][a:b], _matrix(batch.column(6).slice(a, b - a), d)
+                if kind == 0:
+                    held.append((rows, ids, v))
                     continue
-                ids, v = batch.column(0).to_numpy(), _matrix(batch.column(1), d)
-                order = np.argsort(ids, kind="stable")
-                ids, v = ids[order], v[order]
-                _, same = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * d))).reshape(-1), return_inverse=True)
-                by = np.argsort(same, kind="stable")
-                first = np.r_[True, np.diff(same[by]) > 0]
-                copy = np.empty(len(by), np.int64)
-                copy[by] = np.arange(len(by)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-                live = copy <= k
-                codes = np.frombuffer(b"".join(batch.column(2).take(pa.array(order[live])).to_pylist()), np.uint8).reshape(-1, len(shared.value))
-                ids, v, norms = ids[live], v[live], batch.column(3).to_numpy()[order][live]
-                near = scan(q, shared.value, codes, norms, SHORTLIST)
-                for a in range(0, len(q), _TABLE):
-                    at = near[a : a + _TABLE]
-                    score = np.einsum("qd,qnd->qn", q[a : a + _TABLE], v[at])
-                    score[ids[at] == names[a : a + _TABLE, None]] = -np.inf
-                    i, s = np.concatenate([top_id[a : a + _TABLE], ids[at]], 1), np.concatenate([top[a : a + _TABLE], score], 1)
-                    best = np.lexsort((i, -s), axis=1)[:, :k]
-                    if a == 0:
-                        new_id, new = np.full((len(q), best.shape[1]), -1, np.int64), np.full((len(q), best.shape[1]), -np.inf)
-                    new_id[a : a + _TABLE], new[a : a + _TABLE] = np.take_along_axis(i, best, 1), np.take_along_axis(s, best, 1)
-                top_id, top = new_id, new
-            found = np.isfinite(top)
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], top.shape)[found]), pa.array(top_id[found]), pa.array(top[found])], names=["query_id", "vec_id", "score"])
-
-        part = table.mapInArrow(run, "query_id long, vec_id long, score double")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        part = part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        if blocks > 1:
-            part = materialize(part, "found")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+                if best is None and held:
+                    best = _Best(*(np.concatenate([h[c] for h in held]) for c in range(3)), k)
+                    held = []
+                if best is not None:
+                    codes = np.frombuffer(b"".join(batch.column(7).slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
+                    best.meet(ids, v, codes, batch.column(8).slice(a, b - a).to_numpy(), shared.value)
+        if best is not None:
+            yield best.batch()
+
+    part = dealt.mapInArrow(run, "row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    return part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
-    """The k nearest of each row whose vec_id is divisible by ``every``, among all other rows."""
+    """The k nearest of each row whose vec_id is divisible by ``every``, among all rows with another vec_id and a vector of its length.
+
+    Rows with a null vec_id or an invalid vector take no part; without a valid row, or for a query without a candidate, there is
+    no answer. Rows that repeat a vec_id stay rows: each is a candidate, and each that asks is answered. Other columns
+    are not looked at.
+    """
     built = build(embeddings, "vec_id", "embedding")
     if built is None:
         return embeddings.sparkSession.sql("SELECT 0L AS query_id, 0 AS rank, 0L AS vec_id, 0D AS score WHERE false")

@@ -62,7 +62,7 @@ def test_one_common_vector(spark):
 
 
 def test_vectors_without_part(spark):
-    rows = [(0, [1, 0]), (1, [0.5, 0.5]), (2, None), (3, [0, 0]), (4, [None, 1]), (5, [float("nan"), 1]), (6, [float("inf"), 1]), (7, [2, 0]), (20, [1, 1]), (None, [1, 2]), (8, []), (9, [1, 2, 3]), (7, [2, 0])]
+    rows = [(0, [1, 0]), (1, [0.5, 0.5]), (2, None), (3, [0, 0]), (4, [None, 1]), (5, [float("nan"), 1]), (6, [float("inf"), 1]), (7, [2, 0]), (20, [1, 1]), (None, [1, 2]), (8, [])]
     got = found(ann.neighbours(frame(spark, rows)))
     assert got == {0: [(7, 2.0), (20, 1.0), (1, 0.5)], 20: [(7, 2.0), (0, 1.0), (1, 1.0)]}
     assert ann.neighbours(frame(spark, [])).count() == 0
@@ -70,12 +70,57 @@ def test_vectors_without_part(spark):
     assert ann.neighbours(frame(spark, [(0, [1, 0])])).count() == 0
 
 
+def test_every_length_is_answered(spark):
+    """Vectors meet those of their own length, however few they are."""
+    rng = np.random.default_rng(5)
+    of = lambda n, d, at: {at + i: v for i, v in enumerate(rng.normal(size=(n, d)).astype(np.float32).astype(float))}
+    groups = [of(400, 8, 0), of(41, 3, 1_000), of(25, 12, 2_000), of(1, 5, 3_000)]
+    got = found(ann.neighbours(frame(spark, [x for g in groups for x in g.items()])))
+    want = {q: rows for g in groups for q, rows in exact(g, 20).items() if rows}
+    assert set(got) == set(want) and all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want if q >= 1_000)
+
+
+def test_repeated_rows_are_rows(spark):
+    rows = [(0, [1, 0]), (1, [3, 0]), (1, [3, 0]), (1, [2, 0]), (0, [9, 9])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.neighbours(frame(spark, rows)).collect())
+    first, second = [(0, r, 1, s) for r, s in enumerate([3.0, 3.0, 2.0], 1)], [(0, r, 1, s) for r, s in enumerate([27.0, 27.0, 18.0], 1)]
+    assert got == sorted(first + second)
+    assert len(ann.neighbours(frame(spark, [(0, [1, 0])] + [(1, [1, 0])] * 30 + [(2, [1, 0])] * 30)).collect()) == 20
+
+
+def test_recall_at_ten_thousand(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(10_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    got = found(ann.neighbours(frame(spark, list(enumerate(x)))))
+    best = np.argsort(-(x[::20] @ x.T), axis=1)[:, :21]
+    hits = sum(len({i for i, _ in got[q * 20]} & ({*row.tolist()} - {q * 20})) for q, row in enumerate(best))
+    assert hits >= 0.95 * 20 * 500
+
+
+def test_more_neighbours_than_the_shortlist(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHORTLIST", 2)
+    rows = [(i, [1.0, i / 100]) for i in range(60)]
+    assert [i for i, _ in found(ann.neighbours(frame(spark, rows), k=50))[20]] == [i for i in range(59, 8, -1) if i != 20][:50]
+
+
+def test_codewords_are_fitted_together():
+    rng = np.random.default_rng(8)
+    x, codes = rng.normal(size=(300, 5)), rng.integers(0, 4, size=(300, 3))
+    books = ann.fit(x, codes, np.zeros((3, 4, 5)), 60)
+    hot = np.concatenate([np.eye(4)[codes[:, j]] for j in range(3)], axis=1)
+    best = hot @ np.linalg.lstsq(hot, x, rcond=None)[0]
+    assert np.allclose(sum(books[j][codes[:, j]] for j in range(3)), best, atol=1e-6)
+
+
 def test_several_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vectors = {i: v for i, v in enumerate(rng.normal(size=(600, 4)).astype(np.float32).astype(float))}
     whole = found(ann.neighbours(frame(spark, vectors.items())))
     monkeypatch.setattr(ann, "QUERIES", 7)
-    assert found(ann.neighbours(frame(spark, vectors.items()))) == whole
+    monkeypatch.setattr(ann, "SLICE", 50)
+    parts = found(ann.neighbours(frame(spark, vectors.items())))
+    assert {q: [i for i, _ in r] for q, r in parts.items()} == {q: [i for i, _ in r] for q, r in whole.items()}
 
 
 def test_beam_is_no_worse_than_greedy():
