@@ -51,11 +51,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return again
 
 
-def release(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for ``df``; no later plan may read it."""
-    path = getattr(df, "_kvstrata_path", None)
-    if path:
-        _delete(df.sparkSession, path)
+def release(*tables: DataFrame | None) -> None:
+    """Delete what ``materialize`` wrote for these tables; no later plan may read it."""
+    for df in tables:
+        path = getattr(df, "_kvstrata_path", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

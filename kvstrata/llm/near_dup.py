@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvstrata.llm.bpe import groups
@@ -143,19 +143,22 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(total)
 
 
+def hashes(text: str) -> list[Column]:
+    """Two longs that stand for a text."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
 def sketches(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """Per row: id, hash of the text (two longs), bands (one long each; null without shingles)."""
+    """Per row with an identifier and a text: id, hash of the text (two longs), bands (one long each; null without shingles)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        hashes = Hashes()
+        known = Hashes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in groups([t or "" for t in texts]):
-                part = [t or "" for t in texts[a:b]]
-                doc, item, weight = shingles(part, hashes)
+            texts = batch.column(3).to_pylist()
+            for a, b in groups(texts):
+                part = texts[a:b]
+                doc, item, weight = shingles(part, known)
                 won = sketch(doc, item, weight, len(part))
                 some = np.zeros(len(part), bool)
                 some[doc] = True
@@ -163,30 +166,22 @@ def sketches(docs: DataFrame, ident: str, text: str) -> DataFrame:
                 for k in range(ROWS):
                     bands = mix(bands * _MIX[0] + won[:, _PLACES[:, k]])
                 bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * _MIX[4]).view(np.int64)
-                digest = [xxhash.xxh3_128_digest(t.encode()) for t in part]
-                halves = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array(halves[:, 0]),
-                        pa.array(halves[:, 1]),
-                        pa.array([bands[i] if s else None for i, s in enumerate(some)], pa.list_(pa.int64())),
-                    ],
-                    names=["id", "h1", "h2", "bands"],
-                )
+                own = pa.array([bands[i] if s else None for i, s in enumerate(some)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), own], names=["id", "h1", "h2", "bands"])
 
-    return docs.filter(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, h1 long, h2 long, bands array<long>")
+    rows = docs.filter(F.col(text).isNotNull() & F.col(ident).isNotNull())
+    return rows.select(F.col(ident).cast("long").alias("id"), *hashes(text), F.col(text).alias("text")).mapInArrow(run, "id long, h1 long, h2 long, bands array<long>")
 
 
 def sets(texts: DataFrame) -> DataFrame:
     """For rows (id, text): id, slots (four bytes each), items (sorted shingles, eight bytes each) and weights (doubles; null if all are one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        known = Hashes()
         for batch in batches:
             every = batch.column(1).to_pylist()
             for a, b in groups(every):
-                doc, item, weight = shingles(every[a:b], hashes)
+                doc, item, weight = shingles(every[a:b], known)
                 won = sketch(doc, item, weight, b - a).astype("<u4")
                 cut = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
                 own = [slice(i, j) for i, j in zip(cut, cut[1:], strict=False)]
@@ -281,6 +276,20 @@ def across(rows: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
+def _by_key(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``left`` (that many rows) joined with ``right``, which has one row for each of its keys and the number of its left rows as ``n``.
+
+    Frequent keys are joined by broadcast, so no task gets all rows of one. At most BROADCAST_ROWS keys are frequent, as each
+    has more rows than this share of all; any other has so few that they fit into a task.
+    """
+    most = max(SHARE, rows // BROADCAST_ROWS)
+    frequent = right.filter(F.col("n") > most).select(*keys, *[F.col(c).alias(f"f_{c}") for c in right.columns if c not in keys])
+    first = left.join(F.broadcast(frequent), keys, "left")
+    done = first.filter("f_n IS NOT NULL").select(*left.columns, *[F.col(f"f_{c}").alias(c) for c in right.columns if c not in keys])
+    rest = first.filter("f_n IS NULL").select(*left.columns).join(right.filter(F.col("n") <= most), keys)
+    return done.unionByName(rest.select(done.columns))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """The written table for a join: broadcast up to BROADCAST_ROWS rows, as it is beyond."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -353,60 +362,91 @@ def components(links: DataFrame, most: int = LINKS) -> DataFrame:
             return now.select("id", "class")
 
 
-def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of documents: ident and class_id, the smallest identifier of its class (its own, if it has no duplicate).
-
-    Equal texts are one class, and texts of a similarity of SIMILARITY or more are linked. A row with a null text or
-    a text without words is alone, but for equal texts; a null identifier has a null class. Repeated rows stay. An
-    identifier should name one text; where it names several, its rows share one class.
-    """
-    base = materialize(sketches(docs, ident, text), "sketches")
-    copies = base.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "rep")
-    member = materialize(base.join(copies, ["h1", "h2"], "left").groupBy("id").agg(F.min(F.coalesce("rep", "id")).alias("rep")), "members")
-    reps = base.join(member.filter("id != rep").select("id"), "id", "left_anti").filter("bands IS NOT NULL")
-    rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.col("first") < F.col("last")).select("key")
-    buckets = materialize(rows.join(shared, "key").select("key", "band", "id").distinct(), "buckets")
-    near = materialize(buckets.select("id").distinct(), "near")
-    # only a text that shares a band with another is read again
-    texts = docs.filter(F.col(text).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
-    known = materialize(sets(texts.join(_small(near), "id").dropDuplicates(["id"])), "sets")
+def _classes(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """id, h1, h2 and class_id of every row with an identifier and a text. Classes are of texts; each is named by its smallest identifier."""
+    base = materialize(sketches(docs, ident, text).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    rows = base.count()
+    # of equal texts the row of the smallest identifier stands for all
+    first = base.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = materialize(first.filter("n > 1").select("h1", "h2", F.col("first.row").alias("rep"), "n"), "copies")
+    again = _by_key(base.select("row", "id", "h1", "h2").join(_small(copies.select("h1", "h2")), ["h1", "h2"], "left_semi"), copies, ["h1", "h2"], rows).select("row", "rep")
+    again = materialize(again.filter("row != rep"), "again")
+    reps = base.join(again.select("row"), "row", "left_anti").filter("bands IS NOT NULL").select("row", "id", "h1", "h2", "bands")
+    banded = reps.select("row", F.posexplode("bands").alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter(F.col("first") < F.col("last")).select("key")
+    buckets = materialize(banded.join(shared, "key").select("key", "band", F.col("row").alias("id")), "buckets")
+    near = materialize(reps.join(buckets.select(F.col("id").alias("row")).distinct(), "row", "left_semi").select("row", "id", "h1", "h2"), "near")
+    # only a text that shares a band with another is read again; equal rows of one identifier are one text
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(ident).cast("long").alias("id"), *hashes(text), F.col(text).alias("text"))
+    texts = texts.join(_small(near), ["id", "h1", "h2"]).select(F.col("row").alias("id"), "text")
+    repeated = not base.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    known = materialize(sets(texts.dropDuplicates(["id"]) if repeated else texts), "sets")
+    release(copies, near)
     links = None
     classes = components(docs.sparkSession.sql("SELECT 0L AS a, 0L AS b WHERE false"))
     for turn in range(EARLY + 1):
         sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
         named = materialize(classes.join(sizes, "class"), "named")
         of = buckets.join(_small(named), "id", "left").select("key", "band", "id", F.coalesce("class", "id").alias("class"), F.coalesce("n", F.lit(1)).alias("n"))
+        used = [named]
         if turn < EARLY:
-            # one row for each class of a bucket
-            heads = of.repartition("key").groupBy("key", "class").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-            top = F.max(F.struct(F.col("n"), (-F.col("id")).alias("id"))).over(Window.partitionBy("key"))
-            heads = heads.withColumn("top", top).select("class", "id", (-F.col("top.id")).alias("q")).filter("id <> q")
-            pairs = materialize(heads.groupBy(F.greatest("id", "q").alias("a"), F.least("id", "q").alias("b")).agg(F.min("class").alias("side")), "pairs")
+            # one row for each class of a bucket, beside the one of the largest class
+            heads = materialize(of.groupBy("key", "class").agg(F.min("id").alias("id"), F.max("n").alias("size")), "heads")
+            top = heads.groupBy("key").agg(F.max(F.struct(F.col("size"), (-F.col("id")).alias("id"))).alias("top"), F.count(F.lit(1)).alias("n"))
+            top = materialize(top.filter("n > 1").select("key", (-F.col("top.id")).alias("q"), "n"), "top")
+            beside = _by_key(heads.join(_small(top.select("key")), "key", "left_semi"), top, ["key"], buckets.count()).filter("id <> q")
+            pairs = materialize(beside.groupBy(F.greatest("id", "q").alias("a"), F.least("id", "q").alias("b")).agg(F.min("class").alias("side")), "pairs")
             good = _agreeing(pairs.select("a", "b"), known.select("id", "slots")).join(pairs, ["a", "b"])
             best = F.row_number().over(Window.partitionBy("side").orderBy(F.desc("agree"), "a", "b"))
-            found = verify(materialize(good.withColumn("r", best).filter(F.col("r") <= TRIES).select("a", "b"), "chosen"), known)
+            chosen = materialize(good.withColumn("r", best).filter(F.col("r") <= TRIES).select("a", "b"), "chosen")
+            found = verify(chosen, known)
+            used += [heads, top, pairs, chosen]
         else:
             many = of.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key")
             left = materialize(of.join(many, "key").select("key", "band", "id", "class"), "left")
             found = across(left.join(known, "id"))
+            used.append(left)
         found = materialize(found, "found")
         if not found.isEmpty():
+            before = [links, classes]
             links = materialize(found if links is None else links.unionByName(found), "links")
             classes = components(links)
-    of_rep = member.join(classes.select(F.col("id").alias("rep"), "class"), "rep", "left").select(F.col("id").alias("m_id"), F.coalesce("class", "rep").alias("m_class"))
-    ids = docs.select(F.col(ident))
-    return ids.join(of_rep, ids[ident] == F.col("m_id"), "left").select(ident, F.coalesce("m_class", F.col(ident)).cast("long").alias("class_id"))
+            used += before
+        release(*used, found)
+    release(buckets, known, links)
+    # from rows to the texts that stand for them, to classes, to the smallest identifier of each class
+    placed = base.select("row", "id", "h1", "h2").join(again, "row", "left").withColumn("rep", F.coalesce("rep", "row"))
+    named = placed.join(classes.select(F.col("id").alias("rep"), "class"), "rep", "left") if classes.count() > BROADCAST_ROWS else placed.join(F.broadcast(classes.select(F.col("id").alias("rep"), "class")), "rep", "left")
+    named = materialize(named.select("id", "h1", "h2", F.coalesce("class", "rep").alias("class")), "classed")
+    release(base, again, classes)
+    smallest = materialize(named.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "smallest")
+    alone = named.join(_small(smallest.select("class")), "class", "left_anti").withColumn("class_id", F.col("id"))
+    together = _by_key(named.join(_small(smallest.select("class")), "class", "left_semi"), smallest, ["class"], rows)
+    return alone.select("id", "h1", "h2", "class_id").unionByName(together.select("id", "h1", "h2", "class_id"))
+
+
+def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of documents: ident and class_id, the smallest identifier of its class (its own, if it has no duplicate).
+
+    Equal texts are one class, and texts of a similarity of SIMILARITY or more are linked. A row with a null text or
+    a text without words is alone, but for equal texts; a null identifier has a null class. Repeated rows stay. Where an
+    identifier has several texts, each is of its own class. Very long texts are whole, in a task's memory one by one; an
+    empty table gives an empty one; other columns are not looked at.
+    """
+    found = _classes(docs, ident, text).select(F.col("id").cast(docs.schema[ident].dataType).alias(ident), "class_id")
+    rest = docs.filter(F.col(text).isNull() | F.col(ident).isNull()).select(F.col(ident), F.col(ident).cast("long").alias("class_id"))
+    return found.unionByName(rest)
 
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of documents without those whose class has a smaller identifier; of rows with one identifier one stays.
+    """The rows of documents without those whose class has a smaller identifier; of equal rows of one identifier and text one stays.
 
-    Rows without an identifier all stay.
+    Rows without an identifier or a text all stay. Other columns come along.
     """
-    classes = near_duplicates(docs, ident, text)
-    dropped = classes.filter(F.col("class_id") < F.col(ident)).select(F.col(ident).alias("dropped_id")).distinct()
-    kept = docs.join(dropped, docs[ident] == F.col("dropped_id"), "left_anti")
-    named = F.col(ident).isNotNull()
-    repeated = not classes.filter(named).groupBy(ident).count().filter("count > 1").isEmpty()
-    return kept.filter(named).dropDuplicates([ident]).unionByName(kept.filter(~named)) if repeated else kept
+    found = materialize(_classes(docs, ident, text), "kept")
+    dropped = found.filter("class_id < id").select(F.col("id").alias("d_id"), F.col("h1").alias("d_h1"), F.col("h2").alias("d_h2")).distinct()
+    same = (docs[ident].cast("long") == F.col("d_id")) & (F.xxhash64(docs[text]) == F.col("d_h1")) & (F.xxhash64(F.lit(1), docs[text]) == F.col("d_h2"))
+    named = F.col(ident).isNotNull() & F.col(text).isNotNull()
+    kept = docs.filter(named).join(dropped, same, "left_anti")
+    repeated = not found.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    return (kept.dropDuplicates([ident, text]) if repeated else kept).unionByName(docs.filter(~named))

@@ -190,8 +190,33 @@ def test_odd_documents(spark):
     assert got == sorted([(1, 1)] * 3 + [(2, 1), (3, 3), (None, None)], key=str)
     kept = near_dup.keep_one(rows.unionAll(rows.filter("doc_id IS NULL")))
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, None, None] and kept.columns == rows.columns
-    several = spark.createDataFrame([(1, "a b c d e f", "", "", 1), (1, "g h i j k l", "", "", 1), (2, "g h i j k l", "", "", 1)], DOCS)
-    assert len(near_dup.near_duplicates(several).collect()) == 3
+    several = spark.createDataFrame([(1, "a b c d e f", "", "", 1), (1, "g h i j k l", "", "", 1), (2, "g h i j k l", "", "", 1), (3, "a b c d e f", "", "", 1), (4, "m n o p q", "", "", 1)], DOCS)
+    assert sorted(map(tuple, near_dup.near_duplicates(several).collect())) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    assert sorted((r["doc_id"], r["text"]) for r in near_dup.keep_one(several).collect()) == [(1, "a b c d e f"), (1, "g h i j k l"), (4, "m n o p q")]
+
+
+def test_frequent_keys_and_long_texts(spark, monkeypatch):
+    """Copies and buckets of more rows than a task's share are joined apart; very long texts are whole."""
+    monkeypatch.setattr(near_dup, "SHARE", 4)
+    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", 10)
+    rnd = random.Random(10)
+    long = " ".join(f"w{rnd.randrange(900)}" for _ in range(60_000))
+    texts = ["the hot text of many rows here"] * 60 + family(rnd, 30, edits=1) + [f"alone number {i} x y z {i}" for i in range(20)]
+    rnd.shuffle(texts)
+    data = dict(enumerate(texts))
+    more = {1_000 + i: f"{long} tail {i}" for i in range(3)}
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in (data | more).items()], DOCS)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame).collect()}
+    assert got == classes(data) | dict.fromkeys(more, 1_000)
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path, monkeypatch):
+    from kvstrata.llm import common
+
+    monkeypatch.setattr(common, "scratch_dir", lambda _: "file://" + str(tmp_path))
+    frame = spark.createDataFrame([(i, t, "", "", 1) for i, t in enumerate(family(random.Random(3), 20) + ["x"] * 5)], DOCS)
+    assert len({r["class_id"] for r in near_dup.near_duplicates(frame).collect()}) < 25
+    assert {p.name.split("-")[0] for p in (tmp_path / "kvstrata").iterdir()} == {"classed", "smallest"}
 
 
 def test_sketches_estimate_probability_jaccard():
