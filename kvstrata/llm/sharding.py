@@ -34,39 +34,48 @@ def _cuts(spark, rows: list[tuple], names: str) -> DataFrame:
     return F.broadcast(df) if len(rows) <= BROADCAST_NODES else df
 
 
-def _median_cuts(nodes: DataFrame, active: list[dict], n_dims: int) -> dict[int, int]:
-    """For each active node the key after which its left half ends.
+def _cut_bucket(hist: Column, need: Column) -> Column:
+    """Of a node's histogram, sorted structs (b, w, n), the bucket with which the weight reaches ``need``, or the last: struct(b, w, n, below)."""
+    start = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("below"))
 
-    ``active`` holds node, dim, lo, hi (the extent of the keys) and weight. Each round counts bytes in
-    equal buckets of the open interval of every node at once and goes on inside the bucket that holds the median.
+    def step(acc: Column, x: Column) -> Column:
+        reached = (acc["b"] >= 0) & (acc["below"] + acc["w"] >= need)
+        following = F.struct(x["b"].alias("b"), x["w"].cast("long").alias("w"), x["n"].cast("long").alias("n"), (acc["below"] + acc["w"]).alias("below"))
+        return F.when(reached, acc).otherwise(following)
+
+    return F.aggregate(hist, start, step)
+
+
+def _median_cuts(nodes: DataFrame, active: list[dict]) -> dict[int, int]:
+    """For each active node the key after which its left part ends.
+
+    ``active`` holds node, dim, lo, hi (the extent of the keys), weight and half, the weight that the left part should have.
+    Each round counts bytes in equal buckets of the open interval of every node at once and goes on inside the bucket that
+    holds the cut. The bucket is found where the histogram is; the driver gets one row of each node.
     """
     spark, done = nodes.sparkSession, {}
     state = {a["node"]: a | {"below": 0, "first": a["lo"], "last": a["hi"]} for a in active}
     while state:
-        rows = [(s["node"], s["dim"], s["lo"], s["hi"], max(1, -(-(s["hi"] - s["lo"] + 1) // BUCKETS))) for s in state.values()]
-        cuts = _cuts(spark, rows, "c_node, c_dim, c_lo, c_hi, c_step")
+        steps = {n: max(1, -(-(s["hi"] - s["lo"] + 1) // BUCKETS)) for n, s in state.items()}
+        rows = [(n, s["dim"], s["lo"], s["hi"], steps[n], math.ceil(s["half"] - s["below"])) for n, s in state.items()]
+        cuts = _cuts(spark, rows, "c_node, c_dim, c_lo, c_hi, c_step, c_need")
         key = F.element_at("keys", (F.col("c_dim") + 1).cast("int"))
         buckets = (
             nodes.join(cuts, F.col("node") == F.col("c_node"))
             .withColumn("key", key)
             .filter((F.col("key") >= F.col("c_lo")) & (F.col("key") <= F.col("c_hi")))
-            .groupBy("node", ((F.col("key") - F.col("c_lo")) / F.col("c_step")).cast("long").alias("b"))
+            .groupBy("node", "c_need", ((F.col("key") - F.col("c_lo")) / F.col("c_step")).cast("long").alias("b"))
             .agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"))
         )
         # at most BUCKETS entries in the list of a node
-        listed = buckets.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("b", "w", "n"))).alias("hist")).collect()
-        for node, hist in listed:
-            s = state[node]
-            step = next(r[4] for r in rows if r[0] == node)
-            half, below = s["weight"] / 2, s["below"]
-            for b, w, n in hist:
-                if below + w >= half or b == hist[-1][0]:
-                    break
-                below += w
-            lo = s["lo"] + b * step
+        listed = buckets.groupBy("node", "c_need").agg(F.sort_array(F.collect_list(F.struct("b", "w", "n"))).alias("hist"))
+        for node, found in listed.select("node", _cut_bucket(F.col("hist"), F.col("c_need")).alias("found")).collect():
+            s, step = state[node], steps[node]
+            below, w = s["below"] + found["below"], found["w"]
+            lo = s["lo"] + found["b"] * step
             hi = min(lo + step - 1, s["hi"])
-            if step == 1 or n == 1 or w <= TOLERANCE * s["weight"]:
-                cut = hi if abs(below + w - half) <= abs(half - below) else lo - 1
+            if step == 1 or found["n"] == 1 or w <= TOLERANCE * s["weight"]:
+                cut = hi if abs(below + w - s["half"]) <= abs(s["half"] - below) else lo - 1
                 done[node] = min(max(cut, s["first"]), s["last"] - 1)
                 del state[node]
             else:
@@ -78,12 +87,14 @@ def kd_shard(df: DataFrame, ident: str, size: Column, dims: list[Column], tie: C
     """Deal rows into shards 0..k-1 of near-equal bytes.
 
     ``dims`` are numeric metadata columns (nulls sort first). Every node is split at the median of ``size``
-    along the dimension whose extent is largest, measured against the extent over all rows; a node at or under
-    1.25 times the target is a leaf. With ``n_shards`` the target is the mean and the depth log2 of it.
-    Ties in a dimension are ordered by ``tie`` and then by a hash of the identifier, so rows of one hot value
-    are split wherever the median falls.
+    along the dimension whose extent is largest, measured against the extent over all rows. With ``n_shards``, any number,
+    a node for an odd number of shards is cut at the share that the smaller half of them should have, and shards may be
+    empty only if there are fewer rows. With ``target_bytes`` a node at or under 1.25 times the target is a leaf.
+    Ties in a dimension are ordered by ``tie`` and then by a hash of the row, so rows of one hot value, and rows that
+    repeat, are split wherever the median falls.
     Returns ident, size, the columns of ``carry``, shard (int) and slot (long, gapless from 0 within the shard).
-    An empty table gives an empty result. Repeated rows each get their own slot.
+    An empty table gives an empty result. Repeated rows each get their own slot. Texts are only measured, however long
+    they are; other columns are not looked at.
     """
     spark = df.sparkSession
     carry = carry or {}
@@ -94,17 +105,18 @@ def kd_shard(df: DataFrame, ident: str, size: Column, dims: list[Column], tie: C
         *[c.cast("double").alias(f"d{i}") for i, c in enumerate(dims)],
         *[c.alias(f"carry_{k}") for k, c in carry.items()],
     )
-    slim = materialize(slim, "kd-sizes")
+    slim = materialize(slim.withColumn("row", F.monotonically_increasing_id()), "kd-sizes")
     extent = slim.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), *[f(f"d{i}").alias(f"{f.__name__}{i}") for i in range(len(dims)) for f in (F.min, F.max)]).first()
     rows, total = extent["n"], extent["w"] or 0
-    target = target_bytes or max(1, math.ceil(total / (n_shards or 1)))
+    target = target_bytes or 1
     depth = math.ceil(math.log2(n_shards)) if n_shards else 62
+    shares = {0: n_shards}  # the shards that each node is for
 
     def key(i: int) -> Column:
         lo, hi = extent[f"min{i}"], extent[f"max{i}"]
         value = F.coalesce((F.col(f"d{i}") - F.lit(lo)) / F.lit(hi - lo), F.lit(0.0)) if lo is not None and hi > lo else F.lit(0.0)
         ordinal = (value * ((1 << _VALUE_BITS) - 1)).cast("long")
-        return F.shiftleft(ordinal, _TIE_BITS).bitwiseOR(F.shiftleft(F.col("tie"), 16)).bitwiseOR(F.xxhash64("ident").bitwiseAND(0xFFFF))
+        return F.shiftleft(ordinal, _TIE_BITS).bitwiseOR(F.shiftleft(F.col("tie"), 16)).bitwiseOR(F.xxhash64("ident", "row").bitwiseAND(0xFFFF))
 
     nodes = slim.select("ident", "size", *[f"carry_{k}" for k in carry], F.array(*[key(i) for i in range(len(dims))]).alias("keys"), F.lit(0).cast("long").alias("node"))
     leaves: set[int] = set()
@@ -117,13 +129,16 @@ def kd_shard(df: DataFrame, ident: str, size: Column, dims: list[Column], tie: C
         for r in stats:
             width = lambda i: (r[f"max{i}"] >> _TIE_BITS) - (r[f"min{i}"] >> _TIE_BITS)
             dim = max(range(len(dims)), key=lambda i: (width(i), r[f"max{i}"] - r[f"min{i}"], -i))
-            if (n_shards is None and r["w"] <= 1.25 * target) or r[f"max{dim}"] == r[f"min{dim}"]:
+            share = shares.get(r["node"]) if n_shards else 2
+            if (r["w"] <= 1.25 * target if n_shards is None else share == 1) or r[f"max{dim}"] == r[f"min{dim}"]:
                 leaves.add(r["node"])
             else:
-                active.append({"node": r["node"], "dim": dim, "lo": r[f"min{dim}"], "hi": r[f"max{dim}"], "weight": r["w"]})
+                active.append({"node": r["node"], "dim": dim, "lo": r[f"min{dim}"], "hi": r[f"max{dim}"], "weight": r["w"], "half": r["w"] * (share // 2) / share})
+                if n_shards:
+                    shares[2 * r["node"] + 1], shares[2 * r["node"] + 2] = share // 2, share - share // 2
         if not active:
             break
-        at = _median_cuts(nodes, active, len(dims))
+        at = _median_cuts(nodes, active)
         cuts = _cuts(spark, [(a["node"], a["dim"], at[a["node"]]) for a in active], "c_node, c_dim, c_cut")
         right = (F.element_at("keys", (F.col("c_dim") + 1).cast("int")) > F.col("c_cut")).cast("long")
         split = F.when(F.col("c_node").isNull(), F.col("node")).otherwise(F.col("node") * 2 + 1 + right)
@@ -155,7 +170,7 @@ def kd_shard(df: DataFrame, ident: str, size: Column, dims: list[Column], tie: C
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """All documents in ``n_shards`` shards of near-equal bytes, by language, source, length and identifier.
 
-    A null text counts one byte and has the checksum of the empty text.
+    A null text counts one byte and has the checksum of the empty text. Rows that repeat are spread like others.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
