@@ -22,12 +22,30 @@ MAX_LINE_SYMBOLS = 0.15
 _SYMBOLS = r"[^#*$%&|<>{}\\~^=_!]+"
 #: A navigation line is at least two of these separators with at most three words between neighbours on average.
 _SEPARATORS = r"(?:\||»|›|>|·|•)"
-#: Fixed phrases of boilerplate lines, lower case.
+#: Fixed phrases of boilerplate lines, lower case: English, German, French and Spanish.
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "javascript is disabled", "log in to comment",
     "lorem ipsum", "powered by wordpress", "privacy policy", "share on facebook", "share on twitter", "sign up for our newsletter", "skip to content",
     "subscribe to our newsletter", "terms of service", "terms of use", "use cookies",
+    "abonnieren sie", "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "auf facebook teilen", "cookies akzeptieren", "datenschutzerklärung", "javascript aktivieren",
+    "klicken sie hier", "nutzungsbedingungen", "verwendet cookies", "zum inhalt springen",
+    "abonnez-vous", "accepter les cookies", "activer javascript", "aller au contenu", "cliquez ici", "conditions d'utilisation", "mentions légales", "partager sur facebook", "politique de confidentialité",
+    "tous droits réservés", "utilise des cookies",
+    "aceptar cookies", "activar javascript", "aviso legal", "compartir en facebook", "haga clic aquí", "ir al contenido", "política de privacidad", "suscríbase a", "términos de uso", "todos los derechos reservados",
+    "utiliza cookies",
 )
+#: Fixed entries of menus, lower case; a line of two or more of them and nothing else is navigation.
+MENU = (
+    "about", "about us", "account", "archive", "blog", "categories", "contact", "contact us", "faq", "help", "home", "imprint", "login", "logout", "menu", "news", "next", "previous", "register", "search", "shop", "sign in", "sitemap",
+    "anmelden", "hilfe", "impressum", "kontakt", "startseite", "suche", "über uns", "weiter", "zurück",
+    "accueil", "aide", "connexion", "précédent", "recherche", "suivant", "à propos",
+    "anterior", "ayuda", "buscar", "contacto", "inicio", "quiénes somos", "siguiente",
+)
+#: A line that breaks off fails the punctuation rule as well.
+_CUT_OFF = r"(?:\.\.\.|…|\[…\]|\[\.\.\.\])[\x20\x09-\x0D]*$"
+_PHRASES = "|".join(BOILERPLATE)
+_MENU = "(?:" + "|".join(MENU) + ")"
+_MENU_LINE = rf"^[\x20\x09-\x0D]*{_MENU}(?:[\x20\x09-\x0D]+{_MENU})+[\x20\x09-\x0D]*$"
 
 
 def _words(text: Column) -> Column:
@@ -61,20 +79,21 @@ def _line_fails(line: Column) -> Column:
     parts = F.split(line, _SEPARATORS, -1)
     navigation = (F.size(parts) >= 3) & (F.size(F.split(F.trim(line), _SPACE, -1)) <= 3 * F.size(parts) + F.size(parts) - 1)
     low = F.lower(line)
-    phrases = "|".join(BOILERPLATE)
-    boilerplate = (F.length(line) <= 240) & low.rlike(phrases)
-    return punctuation | navigation | boilerplate
+    return punctuation | line.rlike(_CUT_OFF) | navigation | low.rlike(_MENU_LINE) | low.rlike(_PHRASES)
 
 
 def measure(docs: DataFrame, ident: str = "doc_id", text: str = "text", *, carry: bool = False) -> DataFrame:
     """Per row: ident, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cleaned.
 
-    ``cleaned`` is the text without failed lines (null for a null text, which has no words and is rejected, as is
-    an empty one). Rows stay rows: repeated documents are judged alike. With ``carry`` the whole row comes along as the struct ``q_row``; other columns don't matter.
+    A line fails if too many of its characters are symbols, if it breaks off, if it is a menu, or if it holds a phrase of
+    BOILERPLATE. ``cleaned`` is the text without failed lines (null for a null text, which has no words and is rejected, as
+    is an empty one). Rows stay rows: repeated documents are judged alike. Very long texts are taken whole, and an empty table gives an empty one. With ``carry`` the whole row comes along as the struct ``q_row``; other columns don't matter.
     """
     full = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(full, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    suspicious = full.rlike(r"[#*$%&|<>{}\\~^=_!»›·•]") | F.lower(full).rlike("|".join(BOILERPLATE))
+    low = F.lower(full)
+    # only a text with any of these can have a failing line
+    suspicious = full.rlike(r"[#*$%&|<>{}\\~^=_!»›·•…]|\.\.\.") | low.rlike("|".join([_PHRASES, rf"(?m)^[\x20\x09-\x0D]*{_MENU}[\x20\x09-\x0D]+{_MENU}"]))
     cleaned = F.when(suspicious, F.array_join(F.filter(F.split(full, "\n", -1), lambda x: ~_line_fails(x)), "\n")).otherwise(full)
     solid = lambda c: F.length(F.regexp_replace(c, _SPACE, "")).cast("long")
     measured = docs.select(

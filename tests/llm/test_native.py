@@ -67,6 +67,47 @@ def test_target_bytes(spark):
     assert sum(sizes) == 10_000 and max(sizes) <= 1250
 
 
+@pytest.mark.parametrize("n", [1, 3, 6, 8, 11])
+def test_any_number_of_shards(spark, n):
+    """Rows that repeat, all of them here, are spread over all shards, of which there may be any number."""
+    same = documents(spark, ["t"]).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(1_000)))).drop("k")
+    rows = sharding.shard_documents(same, n).groupBy("shard").count().collect()
+    assert sorted(r["shard"] for r in rows) == list(range(n)) and max(r["count"] for r in rows) - min(r["count"] for r in rows) <= 0.05 * 1_000
+
+
+def plain_tree(rows, share):
+    """Shards of rows (keys, size, name) by exact weighted medians of the widest dimension, left to right."""
+    if share == 1 or not rows:
+        return [rows]
+    dims = range(len(rows[0][0]))
+    extent = lambda i: (max(r[0][i] for r in rows), min(r[0][i] for r in rows))
+    dim = max(dims, key=lambda i: ((extent(i)[0] >> 32) - (extent(i)[1] >> 32), extent(i)[0] - extent(i)[1], -i))
+    half, below = sum(r[1] for r in rows) * (share // 2) / share, 0
+    ordered = sorted(rows, key=lambda r: r[0][dim])
+    for k, r in enumerate(ordered):
+        if below + r[1] >= half or k == len(ordered) - 1:
+            n = k + 1 if abs(below + r[1] - half) <= abs(half - below) else k
+            break
+        below += r[1]
+    n = min(max(n, 1), len(ordered) - 1)
+    return plain_tree(ordered[:n], share // 2) + plain_tree(ordered[n:], share - share // 2)
+
+
+@pytest.mark.parametrize("n", [5, 8])
+def test_cuts_of_a_plain_tree(spark, monkeypatch, n):
+    monkeypatch.setattr(sharding, "TOLERANCE", 0.0)
+    rnd = random.Random(4)
+    a, b = rnd.sample(range(1_000_000), 300), rnd.sample(range(50_000), 300)
+    data = [(i, a[i], b[i], rnd.randrange(1, 900)) for i in range(300)]
+    out = sharding.kd_shard(spark.createDataFrame(data, "id long, a long, b long, s long"), "id", F.col("s"), [F.col("a"), F.col("b")], F.lit(0), n_shards=n)
+    place = lambda v, vs: int((v - min(vs)) / (max(vs) - min(vs)) * ((1 << 30) - 1)) << 32
+    want = plain_tree([((place(x, a), place(y, b)), s, i) for i, x, y, s in data], n)
+    got = collections.defaultdict(set)
+    for r in out.collect():
+        got[r["shard"]].add(r["id"])
+    assert [got[k] for k in range(n)] == [{r[2] for r in rows} for rows in want]
+
+
 # personal data
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -180,7 +221,43 @@ def test_lines_and_documents(spark):
     assert [r["n_chars"] for r in cleaned.collect()] == [len(prose)] * 2 and cleaned.columns == clashing(documents(spark, texts)).columns
 
 
-@pytest.mark.parametrize("operator", [sharding.shard_documents, pii.digest, quality.digest])
+def line_fails(line):
+    """The rules of a line in plain Python."""
+    space = "[\\x20\\x09-\\x0D]+"
+    solid = re.sub(space, "", line)
+    symbols = len(re.sub(r"[^#*$%&|<>{}\\\\~^=_!]+", "", solid))
+    parts = re.split(r"\||»|›|>|·|•", line)
+    words = [w for w in re.split(space, line) if w]
+    entries, rest = sorted(quality.MENU, key=len, reverse=True), line.lower().strip()
+    count = 0
+    while rest and (hit := next((m for m in entries if rest == m or re.match(re.escape(m) + space, rest)), None)):
+        rest, count = re.sub("^" + space, "", rest[len(hit) :]), count + 1
+    return (
+        symbols > 3 and symbols > 0.15 * len(solid)
+        or re.search(r"(?:\.\.\.|…)\]?\s*$", line) is not None
+        or len(parts) >= 3 and len(words) <= 3 * len(parts) + len(parts) - 1
+        or not rest and count >= 2
+        or any(p in line.lower() for p in quality.BOILERPLATE)
+    )
+
+
+def test_verdict_and_cleaned_text(spark):
+    rnd = random.Random(6)
+    clean = lambda: " ".join(f"w{rnd.randrange(9_999)}" for _ in range(rnd.randrange(4, 30))) + rnd.choice([".", "", "?"])
+    bad = ["Home | About | Contact", "All rights reserved.", "Alle Rechte vorbehalten", "Abonnieren Sie unseren Brief", "Tous droits réservés", "Todos los derechos reservados", "$$$ %%% ### a", "read on in the next part ...", "and so on…", "Home About Contact", "Startseite Kontakt Impressum", "Accueil » Aide » Recherche", "long " * 80 + "privacy policy " + "text " * 60, ""]
+    texts = ["\n".join(rnd.choice(bad) if rnd.random() < share else clean() for _ in range(rnd.randrange(1, 40))) for share in (0, 0.1, 0.5, 0.9) for _ in range(60)] + ["about time we met\n" + clean(), "home alone\n" + "next of kin"]
+    rows = quality.measure(documents(spark, texts)).collect()
+    for r in rows:
+        text = texts[r["doc_id"]]
+        left = [x for x in text.split("\n") if not line_fails(x)]
+        chars = lambda t: sum(map(len, t.split()))
+        lost = chars(text) - chars("\n".join(left))
+        assert r["cleaned"] == "\n".join(left), [x for x in text.split("\n") if (x in left) != (x in r["cleaned"].split("\n"))]
+        assert r["kept"] == (not r["base_failed"] and lost <= 0.5 * chars(text))
+    assert {r["kept"] for r in rows} == {True, False}
+
+
+@pytest.mark.parametrize("operator", [sharding.shard_documents, pii.digest, quality.digest, lambda df: chat.digest(df.selectExpr("doc_id AS conv_id", "n_chars AS turn", "'user' AS role", "text"))])
 def test_no_python_in_native_plans(spark, operator):
     plan = operator(documents(spark, ["a", "b"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
