@@ -36,9 +36,9 @@ CHUNK = 4096
 #: Characters split together, about; a longer text is split in strips, with _HALO characters on both sides.
 STRIP = 1 << 19
 #: States compiled at most; then compiling starts anew.
-STATES = 200_000
+STATES = 400_000
 #: Counts of pieces kept in a worker.
-CACHE = 400_000
+CACHE = 600_000
 _LETTER, _NUMBER, _OTHER, _SPACE, _BLANK, _END, _UNKNOWN = 1, 2, 3, 4, 5, 6, 0
 _HALO = 4
 
