@@ -43,6 +43,8 @@ LINKS = 1_000_000
 #: Rows of two numbers that are broadcast.
 BROADCAST_ROWS = 400_000
 #: Documents compared with one pivot in one task.
+PIVOT = 64
+#: Rows of one key that a join leaves to one task, at least.
 SHARE = 512
 #: Words kept hashed in a worker.
 CACHE = 500_000
@@ -298,10 +300,10 @@ def _small(df: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) whose similarity is SIMILARITY or more; ``known`` has the sets of their ids.
 
-    Sets are dealt out by b, the pivot, in shares of SHARE, each share with a copy of the pivot's set; a task streams
+    Sets are dealt out by b, the pivot, in shares of PIVOT, each share with a copy of the pivot's set; a task streams
     its rows and holds one pivot at a time.
     """
-    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PIVOT).cast("int").alias("shares"))
     rows = pairs.join(shares, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("kind"))
     pivots = shares.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"))
     dealt = rows.unionByName(pivots).join(known.select(F.col("id").alias("a"), "items", "weights"), "a")
