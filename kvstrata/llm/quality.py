@@ -43,9 +43,20 @@ MENU = (
 )
 #: A line that breaks off fails the punctuation rule as well.
 _CUT_OFF = r"(?:\.\.\.|…|\[…\]|\[\.\.\.\])[\x20\x09-\x0D]*$"
-_PHRASES = "|".join(BOILERPLATE)
-_MENU = "(?:" + "|".join(MENU) + ")"
+
+
+def _any(words: tuple[str, ...]) -> str:
+    """A pattern of any of the words, by their first letters."""
+    first = dict.fromkeys(w[0] for w in words)
+    return "(?:" + "|".join(c + "(?:" + "|".join(w[1:] for w in words if w[0] == c) + ")" for c in first) + ")"
+
+
+#: A phrase counts where no letter stands before it.
+_PHRASES = r"(?:^|[^a-z\u00df-\u00ff])" + _any(BOILERPLATE)
+_MENU = _any(MENU)
 _MENU_LINE = rf"^[\x20\x09-\x0D]*{_MENU}(?:[\x20\x09-\x0D]+{_MENU})+[\x20\x09-\x0D]*$"
+#: The beginning of such a line in a whole text.
+_MENU_START = rf"(?:^|\n)[\x20\x09-\x0D]*{_MENU}[\x20\x09-\x0D]+{_MENU}"
 
 
 def _words(text: Column) -> Column:
@@ -72,14 +83,26 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), by_windows))
 
 
-def _line_fails(line: Column) -> Column:
-    solid = F.regexp_replace(line, _SPACE, "")
-    symbols = F.length(F.regexp_replace(solid, _SYMBOLS, ""))
-    punctuation = (symbols > 3) & (symbols > MAX_LINE_SYMBOLS * F.length(solid))
-    parts = F.split(line, _SEPARATORS, -1)
-    navigation = (F.size(parts) >= 3) & (F.size(F.split(F.trim(line), _SPACE, -1)) <= 3 * F.size(parts) + F.size(parts) - 1)
-    low = F.lower(line)
-    return punctuation | line.rlike(_CUT_OFF) | navigation | low.rlike(_MENU_LINE) | low.rlike(_PHRASES)
+def _cleaned(text: Column) -> Column:
+    """The text without the lines that fail. What a text has nowhere is not looked for in its lines."""
+    low = F.lower(text)
+    has = {
+        "symbols": text.rlike(r"[#*$%&|<>{}\\~^=_!»›·•]"),
+        "cut_off": text.rlike(r"\.\.\.|…"),
+        "menu": low.rlike(_MENU_START),
+        "phrase": low.rlike(_PHRASES),
+    }
+
+    def fails(line: Column, v: Column) -> Column:
+        symbols = F.length(F.regexp_replace(line, _SYMBOLS, ""))
+        punctuation = (symbols > 3) & (symbols > MAX_LINE_SYMBOLS * F.length(F.regexp_replace(line, _SPACE, "")))
+        parts = F.size(F.split(line, _SEPARATORS, -1))
+        navigation = line.rlike(_SEPARATORS + "(?s:.*)" + _SEPARATORS) & (F.size(F.split(F.trim(line), _SPACE, -1)) <= 3 * parts + parts - 1)
+        return (v["symbols"] & (punctuation | navigation)) | (v["cut_off"] & line.rlike(_CUT_OFF)) | (v["menu"] & F.lower(line).rlike(_MENU_LINE)) | (v["phrase"] & F.lower(line).rlike(_PHRASES))
+
+    some = lambda v: v["symbols"] | v["cut_off"] | v["menu"] | v["phrase"]
+    kept = lambda v: F.array_join(F.filter(F.split(v["text"], "\n", -1), lambda x: ~fails(x, v)), "\n")
+    return let(F.struct(text.alias("text"), *[c.alias(k) for k, c in has.items()]), lambda v: F.when(some(v), kept(v)).otherwise(v["text"]))
 
 
 def measure(docs: DataFrame, ident: str = "doc_id", text: str = "text", *, carry: bool = False) -> DataFrame:
@@ -91,10 +114,6 @@ def measure(docs: DataFrame, ident: str = "doc_id", text: str = "text", *, carry
     """
     full = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(full, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    low = F.lower(full)
-    # only a text with any of these can have a failing line
-    suspicious = full.rlike(r"[#*$%&|<>{}\\~^=_!»›·•…]|\.\.\.") | low.rlike("|".join([_PHRASES, rf"(?m)^[\x20\x09-\x0D]*{_MENU}[\x20\x09-\x0D]+{_MENU}"]))
-    cleaned = F.when(suspicious, F.array_join(F.filter(F.split(full, "\n", -1), lambda x: ~_line_fails(x)), "\n")).otherwise(full)
     solid = lambda c: F.length(F.regexp_replace(c, _SPACE, "")).cast("long")
     measured = docs.select(
         F.col(ident),
@@ -104,7 +123,7 @@ def measure(docs: DataFrame, ident: str = "doc_id", text: str = "text", *, carry
         solid(full).alias("word_chars"),
         F.length(F.regexp_replace(full, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        cleaned.alias("q_cleaned"),
+        _cleaned(full).alias("q_cleaned"),
     )
     base_failed = (F.col("q.n") < MIN_WORDS) | (100 * F.col("q.r") > MAX_REPEATED * F.col("q.n"))
     left = F.when(F.length("q_cleaned") == F.length("q_text"), F.col("word_chars")).otherwise(solid(F.col("q_cleaned")))
