@@ -188,7 +188,11 @@ def encode_texts(texts: list[str], pattern, enc: Encoder, cache: dict[str, bytes
         cache.update(keep)
     new = list(used - cache.keys())
     cache.update(zip(new, enc.encode([p.encode() for p in new]), strict=True))
-    return [b"".join(map(cache.__getitem__, ps)) for ps in split]
+    out = [b"".join(map(cache.__getitem__, ps)) for ps in split]
+    for p in new:
+        if len(p) > 64:  # long pieces are not remembered
+            del cache[p]
+    return out
 
 
 def groups(texts: list[str], most: int = BATCH) -> Iterator[tuple[int, int]]:
@@ -223,7 +227,11 @@ def encode(df: DataFrame, ident: str, text: str, path: str, pattern: str) -> Dat
 
 
 def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, the number of tokens, and digests of the ids and of what they decode to."""
+    """doc_id, the number of tokens, and digests of the ids and of what they decode to.
+
+    A null text is empty and has no ids. Very long texts are coded whole, one at a time in a task. Repeated rows are coded
+    alike, a null identifier stays null, an empty table gives an empty one, and other columns are not looked at.
+    """
     import public_tokenizers
 
     path, pattern = path or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN

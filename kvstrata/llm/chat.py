@@ -5,7 +5,7 @@ escaped and measured before that shuffle.
 
 Template of a turn: ``### role: `` body ``</turn>`` newline. Inside roles and bodies ``\\``, ``#`` and ``<`` are
 written with a ``\\`` before them (and ``:`` in roles), so an unescaped ``#`` or ``<`` is always template.
-Attachments are ``<image>``, ``<audio>`` and ``<document>`` in the place of their part.
+Attachments are ``<image>``, ``<audio>``, ``<document>`` and, for any other type, ``<file>`` in the place of their part.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from kvstrata.llm.common import let
 
 _ROLE = r"((?:[^\\#<:]|\\.)*+)"
-_BODY = r"((?:[^\\#<]|\\.|<(?:image|audio|document)>)*+)"
+_BODY = r"((?:[^\\#<]|\\.|<(?:image|audio|document|file)>)*+)"
 _TURN = rf"(?s)### {_ROLE}: {_BODY}</turn>\n"
 #: Tokens that an attachment takes: for an image per tile, for audio per second, for a document per page.
 TOKENS = {"image": 256, "audio": 25, "document": 512}
+#: Tokens of an attachment of any other type, beside those of its text.
+OTHER = 256
 
 
 def escape(c: Column, extra: str = "") -> Column:
@@ -38,13 +40,15 @@ def text_parts(text: Column) -> Column:
 def flatten(parts: Column) -> tuple[Column, Column]:
     """The body of a turn and its attachments, from array of struct(type, text, uri, units).
 
-    A part whose type is none of TOKENS counts as text. Attachments keep the order of the parts:
+    A part of a type that is none of TOKENS is its text; if it has a uri, it is an attachment of OTHER as well, so that no
+    reference is lost. Attachments keep the order of the parts:
     array of struct(type, uri, tokens), where tokens is units (null: 1) times the type's tokens.
     """
     is_text = lambda p: ~F.coalesce(p["type"], F.lit("text")).isin(*TOKENS)
-    body = F.array_join(F.transform(parts, lambda p: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<"), p["type"], F.lit(">")))), "")
+    is_other = lambda p: is_text(p) & p["uri"].isNotNull()
+    body = F.array_join(F.transform(parts, lambda p: F.when(is_text(p), F.concat(escape(F.coalesce(p["text"], F.lit(""))), F.when(is_other(p), F.lit("<file>")).otherwise(""))).otherwise(F.concat(F.lit("<"), p["type"], F.lit(">")))), "")
     each = F.create_map(*[x for k, v in TOKENS.items() for x in (F.lit(k), F.lit(v))])
-    attached = F.transform(F.filter(parts, lambda p: ~is_text(p)), lambda p: F.struct(p["type"].alias("type"), p["uri"].alias("uri"), (F.coalesce(p["units"], F.lit(1)) * F.element_at(each, p["type"])).alias("tokens")))
+    attached = F.transform(F.filter(parts, lambda p: ~is_text(p) | is_other(p)), lambda p: F.struct(p["type"].alias("type"), p["uri"].alias("uri"), (F.coalesce(p["units"], F.lit(1)) * F.coalesce(F.element_at(each, p["type"]), F.lit(OTHER))).alias("tokens")))
     return F.coalesce(body, F.lit("")), F.coalesce(attached, F.array().cast("array<struct<type:string,uri:string,tokens:int>>"))
 
 
@@ -53,7 +57,7 @@ def format_conversations(rows: DataFrame, parts: Column, *, conv: str = "conv_id
 
     Turns are ordered by turn (null first), ties by their content, and repeated rows stay repeated. ``mask`` is an
     array of struct(start, length) in code points over ``formatted``: the bodies of turns of the role ``trained``.
-    A null role counts as empty, a null conversation is one conversation. Attachments carry the place of their turn.
+    A null role counts as empty, a null conversation is one conversation. Very long texts are whole, an empty table gives an empty one. Attachments carry the place of their turn.
     """
     body, attached = flatten(parts)
     each = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), body.alias("body"), attached.alias("attached"))

@@ -104,7 +104,9 @@ def assign(lengths: list[int], capacity: int) -> tuple[list[tuple[int, int, int,
 def pack(docs: DataFrame, ident: str = "doc_id", text: str = "text", *, capacity: int = 1024, end_id: int = 0, json_path: str | None = None, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per piece: ident, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document is its ids and then ``end_id``; a null text is that alone. Each repeated row is a document of its own.
+    A document is its ids and then ``end_id``; a null text is that alone. Each repeated row is a document of its own. Very long
+    texts are cut into whole sequences first; documents of one length keep the order of their rows; an empty table gives an
+    empty one; other columns are not looked at. Which documents share a sequence depends on how the rows are dealt to tasks.
     Sequence numbers tell the task and the sequence in it; they are the same if a task runs again.
     """
     import public_tokenizers

@@ -152,7 +152,11 @@ def _of(kind: str):
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, a digest of their spans, and all spans as text."""
+    """doc_id, counts of the base kinds, a digest of their spans, and all spans as text.
+
+    A null text has no spans. Very long texts are searched whole in linear time. Repeated rows are judged alike, an
+    empty table gives an empty one, and other columns are not looked at.
+    """
     base = [k.name for k in KINDS if k.base]
     spans = F.col("pii_spans")
     return detect(docs).select(

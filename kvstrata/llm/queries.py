@@ -5,13 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kvstrata.llm import ann, bpe, chat, html_wrappers, near_dup, packing, pii, quality, sharding, token_counts
+from kvstrata.llm import ann, bpe, chat, html_wrappers, near_dup, oracles, packing, pii, quality, sharding, token_counts
 from kvstrata.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def shard_laws(placed: DataFrame) -> DataFrame:
+    """What must hold of shards: all rows and bytes are there, slots have no gaps, and sizes differ by at most 3 % of their mean."""
+    per = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots"))
+    return per.agg(F.sum("n").alias("n_rows"), F.sum("w").alias("n_bytes"), F.count(F.lit(1)).alias("shards"), F.bool_and((F.col("last") == F.col("n") - 1) & (F.col("slots") == F.col("n"))).alias("gapless"), (F.max("w") - F.min("w") <= 0.03 * F.avg("w")).alias("balanced"))
+
+
+def packing_laws(pieces: DataFrame) -> DataFrame:
+    """What must hold of pieces: documents are whole, and sequences have no gaps and at most 1024 tokens."""
+    docs = pieces.groupBy("doc_id").agg((F.sum("length") == F.max("doc_tokens")).alias("whole"))
+    sequences = pieces.groupBy("sequence_id").agg(((F.sum("length") <= 1024) & (F.max(F.col("offset") + F.col("length")) == F.sum("length"))).alias("within"))
+    one = F.lit(1).alias("one")
+    both = docs.agg(F.count(F.lit(1)).alias("documents"), F.bool_and("whole").alias("whole")).select("*", one).join(sequences.agg(F.bool_and("within").alias("within")).select("*", one), "one")
+    return both.drop("one")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_kd_shards": lambda spark, sf: sharding.shard_documents(read(spark, sf, "documents")),
@@ -24,8 +40,17 @@ def queries() -> dict[str, Query]:
         "op8_html_wrappers": lambda spark, sf: html_wrappers.main_text(read(spark, sf, "pages")),
         "op9_near_duplicates": lambda spark, sf: near_dup.near_duplicates(read(spark, sf, "documents")),
         "op10_byte_bpe": lambda spark, sf: bpe.digest(read(spark, sf, "documents")),
+        "shard_laws": lambda spark, sf: shard_laws(sharding.shard_documents(read(spark, sf, "documents"))),
+        "packing_laws": lambda spark, sf: packing_laws(packing.pack(read(spark, sf, "documents"))),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.ORACLE_SQL}
+    return {
+        "op4_chat_format": chat.ORACLE_SQL,
+        "op5_quality_rules": oracles.QUALITY,
+        "op8_html_wrappers": oracles.PAGES,
+        "op9_near_duplicates": oracles.NEAR_DUPLICATES,
+        "shard_laws": oracles.SHARD_LAWS,
+        "packing_laws": oracles.PACKING_LAWS,
+    }

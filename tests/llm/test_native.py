@@ -181,6 +181,9 @@ def test_attachments(spark):
     assert out["formatted"] == "### user: see \\<image><image><audio>t</turn>\n### assistant: <document>ok</turn>\n### user: </turn>\n### user: </turn>\n"
     assert [(a["turn"], a["type"], a["uri"], a["tokens"]) for a in out["attachments"]] == [(0, "image", "u1", 512), (0, "audio", "u2", 250), (1, "document", "u3", 512)]
     assert out["expanded_tokens"] == 1274
+    odd = spark.createDataFrame([(1, 0, "user", [("video", None, "u9", 2), ("text", "<file>", None, None)])], f"conv_id long, turn long, role string, parts {parts}")
+    kept = chat.format_conversations(odd, F.col("parts"))
+    assert kept.first()["formatted"] == "### user: <file>\\<file></turn>\n" and [(a["type"], a["uri"], a["tokens"]) for a in kept.first()["attachments"]] == [("video", "u9", 512)]
     (m,) = out["mask"]
     assert out["formatted"][m["start"] : m["start"] + m["length"]] == "<document>ok"
 
@@ -237,7 +240,7 @@ def line_fails(line):
         or re.search(r"(?:\.\.\.|…)\]?\s*$", line) is not None
         or len(parts) >= 3 and len(words) <= 3 * len(parts) + len(parts) - 1
         or not rest and count >= 2
-        or any(p in line.lower() for p in quality.BOILERPLATE)
+        or any(re.search(r"(?<![a-zß-ÿ])" + re.escape(p), line.lower()) for p in quality.BOILERPLATE)
     )
 
 

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -418,6 +419,36 @@ def test_pipeline(spark):
     assert pii.digest(docs).filter("n_email + n_ip + n_card + n_phone > 0").count() == 0
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in pieces} == set(seen[2])
+    # the ids of the pieces are those of the redacted texts
+    from tokenizers import Tokenizer
+
+    from kvstrata.llm.common import tokenizer_path
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    whole = collections.defaultdict(int)
+    for r in pieces:
+        ids = np.array([*library.encode(seen[2][r["doc_id"]] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+        whole[r["doc_id"]] += r["length"]
+    assert all(whole[r["doc_id"]] == r["doc_tokens"] for r in pieces)
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Nulls in every column, repeated rows, empty and long texts, and columns named like those of the operators."""
+    import corpus_pipeline
+
+    prose = lambda k: "\n".join(" ".join(f"w{k}x{i}y{j}" for j in range(12)) + "." for i in range(8))
+    texts = [None, "", prose(1), prose(1), prose(2) + " a@b.org", "long " + " ".join(f"v{i}" for i in range(50_000))]
+    data = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(2, prose(1), None, None, None), (None, prose(3), "en", "s", 1), (None, prose(3), "en", "s", 1)]
+    docs = spark.createDataFrame(data, DOCS).withColumns({c: F.lit("z") for c in ("id", "row", "class", "kept", "q_row", "spans", "ident", "h1", "n")})
+    columns, seen = docs.columns, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == columns
+        seen.append(sorted((r["doc_id"] for r in docs.collect()), key=str))
+    assert seen[0] == sorted([2, 2, 3, 4, 5, None, None], key=str) and seen[1] == seen[2] == sorted([2, 4, 5, None, None], key=str)
+    assert "[EMAIL]" in docs.filter("doc_id = 4").first()["text"]
+    assert sorted({str(r["doc_id"]) for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}) == ["2", "4", "5", "None"]
 
 
 def test_pipeline_of_nothing(spark):

@@ -140,6 +140,33 @@ def test_packing(docs, library):
     assert 1024 * len(seqs) - sum(map(len, ids.values())) < 1024 * len(tasks)
 
 
+def plain_assign(lengths, capacity):
+    """Every rest, in descending order, goes to the sequence of the lowest cost with room; without any, the largest room is filled."""
+    used = sum(n // capacity for n in lengths)
+    rests = sorted(((n % capacity, i, n - n % capacity) for i, n in enumerate(lengths) if n % capacity), key=lambda r: (-r[0], r[1]))
+    opened = -(-sum(r[0] for r in rests) // capacity)
+    cost, room, out = [0] * opened, [capacity] * opened, []
+    for n, i, start in rests:
+        while n:
+            fits = [k for k in range(opened) if room[k] >= n]
+            k = min(fits, key=lambda k: (cost[k], room[k], k)) if fits else max((k for k in range(opened) if room[k]), key=lambda k: (room[k], -cost[k], -k))
+            size = min(n, room[k])
+            out.append((i, start, size, used + k, capacity - room[k]))
+            cost[k], room[k] = cost[k] + packing.LINEAR * size + size * size, room[k] - size
+            n, start = n - size, start + size
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lowest_cost_sequences(seed):
+    rnd = random.Random(seed)
+    lengths = [rnd.choice([rnd.randrange(1, 400), rnd.randrange(1, 64), 64, 128]) for _ in range(120)]
+    pieces, _ = packing.assign(lengths, 64)
+    whole = [(i, k * 64, 64) for i, n in enumerate(lengths) for k in range(n // 64)]
+    got = [p for p in pieces if p[:3] not in set(whole)]
+    assert sorted(p[:3] for p in pieces if p not in got) == sorted(whole) and got == plain_assign(lengths, 64)
+
+
 def test_packing_windows(monkeypatch, spark):
     lengths = [random.Random(i).randrange(1, 3_000) for i in range(3_000)]
     pieces, used = packing.assign(lengths, 1024)
