@@ -14,23 +14,36 @@ from kvstrata.llm.common import materialize, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without the lines that fail."""
+    """Documents that pass, without the lines that fail.
+
+    A null or empty text fails. Repeated rows are judged alike, very long texts whole, and other columns come along.
+    """
     return quality.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, that of the smallest identifier."""
+    """One document of each class, that of the smallest identifier.
+
+    Rows without an identifier or a text stay. Of equal rows one stays; an identifier with several texts is one row for each
+    that no other document has.
+    """
     return near_dup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind.
+
+    A null text stays null, a text without personal data as it is; very long texts are whole, and repeated rows stay.
+    """
     redacted = docs.withColumn("text", pii.redact(F.col("text")))
     return redacted.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
+    """Pieces of all documents in sequences of at most 1024 tokens.
+
+    A null text is its end token alone; each repeated row is a document of its own; very long texts are cut.
+    """
     return packing.pack(docs)
 
 
