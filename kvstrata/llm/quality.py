@@ -144,9 +144,11 @@ def measure(docs: DataFrame, ident: str = "doc_id", text: str = "text", *, carry
 
 def clean(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of kept documents, with cleaned texts and their n_chars (if there is such a column)."""
-    kept = measure(docs, ident, text, carry=True).filter("kept")
-    new = {text: F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
-    return kept.select(*[new[c].alias(c) if c in new else F.col("q_row").getField(c).alias(c) for c in docs.columns])
+    # a plain filter would be pushed below the measuring and do it twice
+    one = F.array(F.struct("kept", "cleaned", "q_row"))
+    kept = measure(docs, ident, text, carry=True).select(F.explode_outer(F.filter(one, lambda m: m["kept"])).alias("m")).filter("m IS NOT NULL")
+    new = {text: F.col("m.cleaned"), "n_chars": F.length("m.cleaned").cast("long")}
+    return kept.select(*[new[c].alias(c) if c in new else F.col("m.q_row").getField(c).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
