@@ -53,3 +53,31 @@ SELECT page_id, url, text, length(text) AS n_chars FROM c"""
 
 SHARD_LAWS = "SELECT count(*) AS n_rows, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS n_bytes, 8::BIGINT AS shards, true AS gapless, true AS balanced FROM documents"
 PACKING_LAWS = "SELECT count(*) AS documents, true AS whole, true AS within FROM documents"
+
+#: The nearest by inner product, of all vectors; scores are rounded, as sums may differ in their last bits.
+SEARCH = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+ok AS (SELECT * FROM v WHERE len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS s FROM ok q JOIN ok c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x))
+SELECT query_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM p WINDOW o AS (PARTITION BY query_id ORDER BY s DESC, vec_id) QUALIFY rank <= 20"""
+
+#: Kinds of personal data by their plain patterns, each with its check of a match ``m``.
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(generate_series(1, length({_DIGITS})), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({_DIGITS}), i, 1)::INT ELSE 2 * substr(reverse({_DIGITS}), i, 1)::INT - CASE WHEN substr(reverse({_DIGITS}), i, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_PLAIN = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: p::HUGEINT > 255)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN length({_DIGITS}) BETWEEN 13 AND 19 THEN {_LUHN} ELSE false END"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+}
+_MATCHES = " UNION ALL ".join(
+    f"SELECT row, {k} AS k, unnest(gaps) AS gap, unnest(list_concat(found, [NULL])) AS m, generate_subscripts(gaps, 1) AS i FROM (SELECT row, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS found FROM d)"
+    for k, (p, _) in enumerate(_PLAIN.values())
+)
+_CHECK = "CASE k " + " ".join(f"WHEN {k} THEN {check}" for k, (_, check) in enumerate(_PLAIN.values())) + " END"
+PII_BASE = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT *, sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY row, k ORDER BY i) AS upto FROM ({_MATCHES})),
+s AS (SELECT row, k, CAST(upto - length(m) AS BIGINT) AS a, CAST(upto AS BIGINT) AS b FROM p WHERE m IS NOT NULL AND {_CHECK}),
+g AS (SELECT row, {", ".join(f"count(*) FILTER (k = {k}) AS n_{name}" for k, name in enumerate(_PLAIN))}, string_agg([{", ".join(f"'{name}'" for name in _PLAIN)}][k + 1] || ':' || a || ':' || b, ',' ORDER BY k, a) AS spans FROM s GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name in _PLAIN)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (row)"""
+
+ROUND_TRIP = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"

@@ -47,6 +47,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, r"\b(?:phone|call|tel|mobile|fax|telefon|t[eé]l[eé]phone|tel[eé]fono)\b"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", 0.9, r"\b(?:iban|account|bank|konto|compte|cuenta)\b", base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.6, r"\b(?:ssn|social security)\b", base=False),
+    Kind("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+", "", 0.5, r"\b(?:access[ _-]?key|api[ _-]?key|auth|bearer|credentials?|passwd|password|secret|token)\b", base=False),
 )
 
 
@@ -88,6 +89,8 @@ def _valid(kind: str, span: Column) -> Column:
         return _mod97(span)
     if kind == "ssn":
         return ~span.rlike(r"^(?:000|666|9)|-00-|-0000$")
+    if kind == "secret":
+        return (F.length(_digits(span)) >= 3) & (F.length(F.regexp_replace(span, "[^A-Za-z]", "")) >= 3)
     return F.lit(True)
 
 
@@ -131,7 +134,7 @@ def _spans(text: Column, kind: Kind) -> Column:
 def find_spans(text: Column) -> Column:
     """All spans of a text in the order of KINDS, then by start: array of struct(kind, start, end, score).
 
-    Spans of base kinds (email, ip, card, phone) that pass their checks always stay; the score of others must
+    Spans of base kinds (email, ip, card, phone) that pass their checks always stay; the score of others (iban, ssn, secret) must
     reach THRESHOLD. A null text counts as empty, and an empty text has no spans.
     """
     text = F.coalesce(text, F.lit(""))

@@ -41,6 +41,9 @@ def queries() -> dict[str, Query]:
         "op9_near_duplicates": lambda spark, sf: near_dup.near_duplicates(read(spark, sf, "documents")),
         "op10_byte_bpe": lambda spark, sf: bpe.digest(read(spark, sf, "documents")),
         "shard_laws": lambda spark, sf: shard_laws(sharding.shard_documents(read(spark, sf, "documents"))),
+        "search_exact": lambda spark, sf: ann.neighbours(read(spark, sf, "embeddings")).withColumn("score", F.round("score", 6)),
+        "pii_base": lambda spark, sf: pii.digest(read(spark, sf, "documents")).drop("spans"),
+        "bpe_round_trip": lambda spark, sf: bpe.digest(read(spark, sf, "documents")).select("doc_id", "decoded_sha256"),
         "packing_laws": lambda spark, sf: packing_laws(packing.pack(read(spark, sf, "documents"))),
     }
 
@@ -53,4 +56,7 @@ def oracle_sql() -> dict[str, str]:
         "op9_near_duplicates": oracles.NEAR_DUPLICATES,
         "shard_laws": oracles.SHARD_LAWS,
         "packing_laws": oracles.PACKING_LAWS,
+        "search_exact": oracles.SEARCH,
+        "pii_base": oracles.PII_BASE,
+        "bpe_round_trip": oracles.ROUND_TRIP,
     }

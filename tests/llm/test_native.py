@@ -143,6 +143,14 @@ def test_checksums_and_context(spark):
     assert [r["spans"] for r in pii.digest(documents(spark, texts)).orderBy("doc_id").collect()] == ["iban:0:27", "", "ssn:10:21", "", ""]
 
 
+def test_secrets_need_context_and_mixed_signs(spark):
+    value = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'x token = "{value}" y', f"see commit {value}", f"password: {'a' * 40}", f"token {value[:19]}", f"API_KEY={value}, ip 1.2.3.4", f"token = {value} {value}"]
+    spans = [r["spans"] for r in pii.digest(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert spans == ["secret:11:51", "", "", "", "ip:53:60,secret:8:48", "secret:8:48"]  # the second of the last is out of the word's reach
+    assert documents(spark, texts[:1]).select(pii.redact(F.col("text"))).first()[0] == 'x token = "[SECRET]" y'
+
+
 def test_redaction(spark):
     texts = [None, "", "nothing here", "mail a@b.org now", "é a@1.2.3.4 x", "+1 (415) 555-2671, 4111 1111 1111 1111."]
     out = [r[0] for r in documents(spark, texts).orderBy("doc_id").select(pii.redact(F.col("text"))).collect()]
