@@ -19,6 +19,8 @@ BUCKETS = 4096
 TOLERANCE = 0.0005
 #: Up to so many nodes (about 64 bytes each) the table of cuts is broadcast.
 BROADCAST_NODES = 65_536
+#: Documents move between shards whose bytes differ by more than this share of their mean; a move takes a tenth off it at least.
+EVEN, GAIN = 0.01, 0.1
 _TIE_BITS = 32
 _VALUE_BITS = 30
 
@@ -83,13 +85,43 @@ def _median_cuts(nodes: DataFrame, active: list[dict]) -> dict[int, int]:
     return done
 
 
-def kd_shard(df: DataFrame, ident: str, size: Column, dims: list[Column], tie: Column, *, n_shards: int | None = None, target_bytes: int | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
+def _even(nodes: DataFrame, weights: dict[int, int], even: float) -> DataFrame:
+    """The nodes, with single rows moved from heavy leaves to light ones until their sizes differ by ``even`` of their mean, or no move helps.
+
+    The heaviest leaf gives to the lightest, the second to the second lightest, and so on: of each pair the row nearest to half
+    of its difference. The driver gets one row of each pair a round; leaves of many rows are even from their cuts on.
+    """
+    moves: dict[int, int] = {}
+    weights, limit, settled = dict(weights), even * sum(weights.values()) / max(1, len(weights)), set()
+    placed = nodes
+    while True:
+        order = sorted(weights, key=lambda n: (weights[n], n))
+        pairs = {h: low for low, h in zip(order[: len(order) // 2], reversed(order), strict=False) if weights[h] - weights[low] > limit and (h, low) not in settled}
+        if not pairs:
+            return placed
+        wants = _cuts(nodes.sparkSession, [(h, (weights[h] - weights[low]) // 2) for h, low in pairs.items()], "c_node, c_want")
+        near = placed.join(wants, F.col("node") == F.col("c_node")).groupBy("node").agg(F.min(F.struct(F.abs(F.col("size") - F.col("c_want")), "row", "size")).alias("near"))
+        for h, found in near.collect():
+            low = pairs[h]
+            apart = weights[h] - weights[low]
+            if abs(apart - 2 * found["size"]) > (1 - GAIN) * apart:
+                settled.add((h, low))
+                continue
+            moves[found["row"]] = low
+            weights[h], weights[low] = weights[h] - found["size"], weights[low] + found["size"]
+        if moves:
+            to = _cuts(nodes.sparkSession, list(moves.items()), "c_row, c_to")
+            placed = nodes.join(to, F.col("row") == F.col("c_row"), "left").withColumn("node", F.coalesce("c_to", "node")).drop("c_row", "c_to")
+
+
+def kd_shard(df: DataFrame, ident: str, size: Column, dims: list[Column], tie: Column, *, n_shards: int | None = None, target_bytes: int | None = None, even: float | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
     """Deal rows into shards 0..k-1 of near-equal bytes.
 
     ``dims`` are numeric metadata columns (nulls sort first). Every node is split at the median of ``size``
     along the dimension whose extent is largest, measured against the extent over all rows. With ``n_shards``, any number,
     a node for an odd number of shards is cut at the share that the smaller half of them should have, and shards may be
-    empty only if there are fewer rows. With ``target_bytes`` a node at or under 1.25 times the target is a leaf.
+    empty only if there are fewer rows; with ``even`` as well, single rows then move between shards that differ by more than
+    this share of their mean. With ``target_bytes`` a node at or under 1.25 times the target is a leaf.
     Ties in a dimension are ordered by ``tie`` and then by a hash of the row, so rows of one hot value, and rows that
     repeat, are split wherever the median falls.
     Returns ident, size, the columns of ``carry``, shard (int) and slot (long, gapless from 0 within the shard).
@@ -118,7 +150,7 @@ def kd_shard(df: DataFrame, ident: str, size: Column, dims: list[Column], tie: C
         ordinal = (value * ((1 << _VALUE_BITS) - 1)).cast("long")
         return F.shiftleft(ordinal, _TIE_BITS).bitwiseOR(F.shiftleft(F.col("tie"), 16)).bitwiseOR(F.xxhash64("ident", "row").bitwiseAND(0xFFFF))
 
-    nodes = slim.select("ident", "size", *[f"carry_{k}" for k in carry], F.array(*[key(i) for i in range(len(dims))]).alias("keys"), F.lit(0).cast("long").alias("node"))
+    nodes = slim.select("ident", "size", "row", *[f"carry_{k}" for k in carry], F.array(*[key(i) for i in range(len(dims))]).alias("keys"), F.lit(0).cast("long").alias("node"))
     leaves: set[int] = set()
     for level in range(depth):
         if not rows:
@@ -145,7 +177,10 @@ def kd_shard(df: DataFrame, ident: str, size: Column, dims: list[Column], tie: C
         nodes = nodes.join(cuts, F.col("node") == F.col("c_node"), "left").withColumn("node", split).drop("c_node", "c_dim", "c_cut")
         if level % 4 == 3:  # a plan of many joins is read again from a table
             nodes = materialize(nodes, "kd-level")
-    found = sorted(r["node"] for r in nodes.select("node").distinct().collect()) if rows else []
+    weights = {r["node"]: r["w"] for r in nodes.groupBy("node").agg(F.sum("size").alias("w")).collect()} if rows else {}
+    found = sorted(weights)
+    if even is not None and n_shards:
+        nodes = _even(nodes, weights, even)
     # leaves in the order of the tree, from left to right
     place = lambda node: bin(node + 1)[3:].ljust(64, "0")
     numbered = _cuts(spark, [(n, i) for i, n in enumerate(sorted(found, key=place))] or [(0, 0)], "c_node, shard")
@@ -170,11 +205,13 @@ def kd_shard(df: DataFrame, ident: str, size: Column, dims: list[Column], tie: C
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """All documents in ``n_shards`` shards of near-equal bytes, by language, source, length and identifier.
 
+    Where documents are few, or long beside a shard, single ones leave their k-d cell to keep sizes within EVEN of their mean.
+
     A null text counts one byte and has the checksum of the empty text. Rows that repeat are spread like others.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
     dims = [F.log2(size), string_ordinal(F.col("source")), string_ordinal(F.col("lang")), F.col("doc_id")]
     crc = F.crc32(F.encode(text, "UTF-8"))
-    placed = kd_shard(docs, "doc_id", size, dims, crc, n_shards=n_shards, carry={"text_crc32": crc})
+    placed = kd_shard(docs, "doc_id", size, dims, crc, n_shards=n_shards, even=EVEN, carry={"text_crc32": crc})
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
