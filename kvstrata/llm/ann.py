@@ -4,7 +4,7 @@ A vector's direction is approximated by a sum of one codeword from each of sever
 is stored beside the codes. Codebooks start as k-means of what earlier ones leave over; then, in turn, codes are found anew and
 all codewords are fitted together by least squares. Codes are found by beam search. A query makes a table of its products
 with all codewords, scores codes by adding up table entries, and the best of each batch are ranked again by exact
-products.
+products. An exact search then holds all products of the batch against the least of those found, so it misses none.
 
 Every valid row is indexed, and the index is written once. Queries and index are dealt into blocks and slices of bounded
 size; one job lets every block meet every slice, and merges the best of the slices. Vectors are compared with those of
@@ -32,6 +32,8 @@ SHORTLIST = 320
 #: Queries of one block, about; indexed vectors of one slice, about.
 QUERIES, SLICE = 8_192, 8_192
 _TABLE = 512
+#: Pairs of one step of an exact check.
+_PAIRS = 65_536
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -184,11 +186,19 @@ def build(df: DataFrame, ident: str, vec: str) -> tuple[DataFrame, np.ndarray] |
     return materialize(rows.select("row", "id", "vec").mapInArrow(run, "row long, id long, vec array<double>, codes binary, norm double"), "index"), books
 
 
+def _products(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The products of columns i of x with columns j of y, added up component by component, so their last bits are those of SQL."""
+    out = np.zeros(np.broadcast_shapes(i.shape, j.shape))
+    for a, b in zip(x, y, strict=True):
+        out += a[i] * b[j]
+    return out
+
+
 class _Best:
     """The best candidates of a block of queries so far."""
 
-    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.rows, self.ids, self.vectors, self.k = rows, ids, vectors, k
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, exact: bool = False):
+        self.rows, self.ids, self.vectors, self.k, self.exact = rows, ids, vectors, k, exact
         self.found, self.scores = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -np.inf)
 
     def meet(self, ids: np.ndarray, v: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray) -> None:
@@ -209,14 +219,39 @@ class _Best:
         ids, v, codes, norms = ids[live], v[live], codes[order][live], norms[order][live]
         width = min(v.shape[1], books.shape[2])
         near = scan(self.vectors[:, :width], books[:, :, :width], codes, norms, max(SHORTLIST, 4 * self.k))
+        components = np.ascontiguousarray(v.T)
         for a in range(0, len(self.ids), _TABLE):
             part = slice(a, a + _TABLE)
-            at = near[part]
-            score = np.einsum("qd,qnd->qn", self.vectors[part], v[at])
+            at, asked = near[part], np.ascontiguousarray(self.vectors[part].T)
+            score = _products(asked, components, np.arange(len(at))[:, None], at)
             score[ids[at] == self.ids[part, None]] = -np.inf
             i, s = np.concatenate([self.found[part], ids[at]], 1), np.concatenate([self.scores[part], score], 1)
             best = np.lexsort((i, -s), axis=1)[:, : self.k]
             self.found[part], self.scores[part] = np.take_along_axis(i, best, 1), np.take_along_axis(s, best, 1)
+            if self.exact and at.shape[1] < len(ids):
+                self._check(part, at, ids, asked, components)
+
+    def _check(self, part: slice, at: np.ndarray, ids: np.ndarray, asked: np.ndarray, components: np.ndarray) -> None:
+        """Score exactly whatever of a batch, beyond the places ``at``, may reach the k best found."""
+        found, scores = self.found[part], self.scores[part]  # views
+        rough = asked.T @ components
+        # more than the rounding of both ways to add up the products
+        slack = 4 * len(asked) * np.finfo(float).eps * np.linalg.norm(asked, axis=0)[:, None] * np.linalg.norm(components, axis=0)
+        reach = rough + slack >= scores[:, -1:]
+        np.put_along_axis(reach, at, False, axis=1)
+        reach &= ids != self.ids[part, None]
+        q, n = np.nonzero(reach)
+        if not len(q):
+            return
+        exact = np.concatenate([_products(asked, components, q[a : a + _PAIRS], n[a : a + _PAIRS]) for a in range(0, len(q), _PAIRS)])
+        # the pairs of a query and its k best so far, as one list
+        rows = np.unique(q)
+        q, i, s = np.r_[q, np.repeat(rows, self.k)], np.r_[ids[n], found[rows].reshape(-1)], np.r_[exact, scores[rows].reshape(-1)]
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        first = np.searchsorted(q, rows)
+        best = first[:, None] + np.arange(self.k)
+        found[rows], scores[rows] = i[best], s[best]
 
     def batch(self) -> pa.RecordBatch:
         some = np.isfinite(self.scores)
@@ -224,10 +259,10 @@ class _Best:
         return pa.RecordBatch.from_arrays([wide(self.rows), wide(self.ids), pa.array(self.found[some]), pa.array(self.scores[some])], names=["row", "query_id", "vec_id", "score"])
 
 
-def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int) -> DataFrame:
+def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: for each row (row, id, vec) of queries the k best rows found of its length with another id.
 
-    Scores are exact products in double precision, ties go to the smaller id.
+    Scores are exact products in double precision, ties go to the smaller id. With ``exact`` the k best of all are found.
     """
     spark = index.sparkSession
     ship(spark)
@@ -259,7 +294,7 @@ def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int) -> D
                     held.append((rows, ids, v))
                     continue
                 if best is None and held:
-                    best = _Best(*(np.concatenate([h[c] for h in held]) for c in range(3)), k)
+                    best = _Best(*(np.concatenate([h[c] for h in held]) for c in range(3)), k, exact)
                     held = []
                 if best is not None:
                     codes = np.frombuffer(b"".join(batch.column(7).slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
@@ -272,15 +307,15 @@ def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int) -> D
     return part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, exact: bool = False) -> DataFrame:
     """The k nearest of each row whose vec_id is divisible by ``every``, among all rows with another vec_id and a vector of its length.
 
     Rows with a null vec_id or an invalid vector take no part; without a valid row, or for a query without a candidate, there is
     no answer. Rows that repeat a vec_id stay rows: each is a candidate, and each that asks is answered. Other columns
-    are not looked at.
+    are not looked at. With ``exact`` no nearer row is missed.
     """
     built = build(embeddings, "vec_id", "embedding")
     if built is None:
         return embeddings.sparkSession.sql("SELECT 0L AS query_id, 0 AS rank, 0L AS vec_id, 0D AS score WHERE false")
     index, books = built
-    return search(index, books, index.filter(F.col("id") % every == 0), k)
+    return search(index, books, index.filter(F.col("id") % every == 0), k, exact)

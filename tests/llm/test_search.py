@@ -99,6 +99,23 @@ def test_recall_at_ten_thousand(spark):
     assert hits >= 0.95 * 20 * 500
 
 
+def test_exact_search_is_its_sql(spark, tmp_path):
+    """Vectors that the codes tell apart badly, copies with ties, and rows that repeat a vec_id."""
+    import duckdb
+
+    from kvstrata.llm import queries
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2_500, 200))
+    x[1_000:1_040] = x[0]
+    rows = [(i, v) for i, v in enumerate(x)] + [(20, x[7]), (33, x[33])]
+    frame(spark, rows).select("vec_id", "embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r) for r in queries.queries()["search_exact"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(got) == sorted(db.execute(queries.oracle_sql()["search_exact"]).fetchall())
+
+
 def test_more_neighbours_than_the_shortlist(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHORTLIST", 2)
     rows = [(i, [1.0, i / 100]) for i in range(60)]
