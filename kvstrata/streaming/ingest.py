@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kvstrata.functions import hashing, tags
 from kvstrata.operators import merkle
-from kvstrata.operators.state import KEYS, key_changes, latest, same, visible
+from kvstrata.operators.state import KEYS, key_changes, latest
 from kvstrata.sources.journal import SCHEMA, write_ledger
 from kvstrata.sources.manifest import Files
 
@@ -32,41 +32,68 @@ def _ledgers(spark: SparkSession, path: str, before: int | None) -> list[str]:
     return [f"{path}/{n}" for n in done if n[0] == "m" and int(n[1:]) == merged or n[0] == "b" and int(n[1:]) > merged]
 
 
-def read_ledger(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The latest versions (tombstones included) of a ledger that ``maintain_ledger`` keeps, of all batches or those before one."""
+def _versions(spark: SparkSession, path: str, before: int | None) -> DataFrame:
+    """The rows of the ledgers of all batches, or those before one. Of a key there may be several; the latest counts."""
     found = _ledgers(spark, path, before)
     rows = key_changes(spark.createDataFrame([], SCHEMA))
-    return latest(spark.read.schema(rows.schema).parquet(*found) if found else rows, KEYS)
+    return spark.read.schema(rows.schema).parquet(*found) if found else rows
+
+
+def read_ledger(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The latest versions (tombstones included) of a ledger that ``maintain_ledger`` keeps, of all batches or those before one."""
+    return latest(_versions(spark, path, before), KEYS)
 
 
-def _upsert(batch: DataFrame, number: int, path: str) -> None:
-    """Write the ledger of one batch under its number, and every MERGE batches all of them as one. A batch that runs again gives the same."""
-    spark = batch.sparkSession
+def _write_changes(batch: DataFrame, number: int, path: str) -> None:
+    """Write the ledger of one batch under its number. A batch that runs again gives the same."""
     write_ledger(latest(key_changes(batch), KEYS), f"{path}/b{number:012d}")
+
+
+def _merge(spark: SparkSession, number: int, path: str) -> None:
+    """Every MERGE batches, write all ledgers as one."""
     if number % MERGE == MERGE - 1:
         write_ledger(read_ledger(spark, path, number + 1), f"{path}/m{number:012d}")
 
 
 def maintain_ledger(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Fold the stream into the ledger under ``path``: a batch writes its own changes only. ``read_ledger`` reads it."""
-    return stream.writeStream.foreachBatch(lambda batch, number: _upsert(batch, number, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        _write_changes(batch, number, path)
+        _merge(batch.sparkSession, number, path)
+
+    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _tree_changes(old: DataFrame, changes: DataFrame, size: str) -> DataFrame:
+    """What the changes of some keys do to the tree of the ledger ``old``: (segment, leaf), to be merged with it.
+
+    One aggregation by key finds the version that a change replaces and the one that is then the latest. Only numbers are
+    aggregated, and a key is hashed once.
+    """
+    side = lambda rows, fresh: rows.select(*KEYS, "sqn", "is_tomb", "hash", F.lit(fresh).alias("fresh"))
+    shown = F.when(~F.col("is_tomb"), F.col("hash"))
+    order = F.col("sqn") * 2 + F.when(F.col("is_tomb"), 0).otherwise(1)  # as in latest
+    was, now = F.max_by(shown, F.when(~F.col("fresh"), order)), F.max_by(shown, order)
+    keys = side(old, False).unionByName(side(changes, True)).groupBy(*KEYS).agg(was.alias("old"), now.alias("new"), F.max("fresh").alias("fresh"))
+    touched = keys.filter(F.col("fresh") & ~F.col("old").eqNullSafe(F.col("new")))
+    both = touched.select(*KEYS, F.explode(F.array("old", "new")).alias("hash")).filter("hash IS NOT NULL")
+    return merkle.object_tree(both, size)
 
 
 def maintain_tree(stream: DataFrame, path: str, checkpoint: str, size: str = "small") -> StreamingQuery:
     """Keep a ledger under ``path``/ledger and the hash tree of its state under ``path``/tree: what a batch replaces is taken out by XOR, and what it writes put in.
 
-    A batch reads the old versions of its own keys; a tree has a bounded number of leaves. ``read_tree`` reads it.
+    A batch reads keys, numbers and hashes of the ledger before it, and its own changes as it wrote them; a tree has a bounded number of leaves. ``read_tree`` reads it.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark, ledger = batch.sparkSession, f"{path}/ledger"
-        changes = latest(key_changes(batch), KEYS)
-        old = read_ledger(spark, ledger, number)
-        touched = old.alias("o").join(changes.select(*KEYS).alias("c"), same("o", "c", KEYS), "left_semi")
-        new = latest(touched.unionByName(changes), KEYS)
-        delta = merkle.merge(*[merkle.object_tree(rows.filter(visible(None)), size) for rows in (touched, new)])
+        _write_changes(batch, number, ledger)
+        old = _versions(spark, ledger, number)
+        delta = _tree_changes(old, spark.read.schema(old.schema).parquet(f"{ledger}/b{number:012d}"), size)
         merkle.merge(read_tree(spark, path, number), delta).write.mode("overwrite").parquet(f"{path}/tree/b{number:012d}")
-        _upsert(batch, number, ledger)
+        _merge(spark, number, ledger)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -274,6 +274,20 @@ def test_currency(spark):
     assert sorted(r["status"] for r in reads.currency(journal, asked).collect()) == ["current", "missing", "replaced"]
 
 
+def test_a_batch_of_a_tree_joins_nothing(spark, tmp_path, monkeypatch):
+    """One aggregation finds what a batch changes; versions replaced, deleted, back again and late ones add up to the tree of the state."""
+    path, plans, merge = str(tmp_path / "j"), [], merkle.merge
+    monkeypatch.setattr(merkle, "merge", lambda *trees: [merge(*trees), plans.append(merge(*trees)._jdf.queryExecution().optimizedPlan().toString())][0])
+    versions = [[(1, "a", "x", "stnd"), (2, "b", "x", "stnd"), (3, "c", "x", "stnd")], [(5, "a", "y", "stnd"), (6, "b", None, "tomb"), (7, "d", "z", "stnd")], [(4, "a", "late", "stnd"), (8, "b", "x", "stnd"), (9, "c", None, "tomb")]]
+    for data in versions:
+        df = spark.createDataFrame([(n, "o", "b", k, v, t) for n, k, v, t in data], "sqn long, tag string, bucket string, key string, value string, jtype string")
+        write_journal(df.coalesce(1), path)
+    ingest.maintain_tree(ingest.journal_stream(spark, path, 1), str(tmp_path / "t"), str(tmp_path / "cp"), "xsmall").awaitTermination()
+    assert plans and not any("Join" in plan for plan in plans)
+    whole = merkle.object_tree(state.ledger(read_journal(spark, path)), "xsmall")
+    assert sorted(map(tuple, ingest.read_tree(spark, str(tmp_path / "t")).collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_streams_equal_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "MERGE", 2)
     path, at = str(tmp_path / "j"), F.lit(1_000)
