@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import statistics
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,24 +14,42 @@ from kvstrata.operators.state import KEYS, as_of, key_changes, latest, same
 from kvstrata.sources.journal import SPECS, read_journal, write_journal
 
 
-def decisions(journal: DataFrame, *, strategies: dict[str, str] | None = None, persisted: int | None = None, whole: DataFrame | None = None) -> DataFrame:
+def _with_newest(journal: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """The records with ``newest``, the highest number of a write of their key, here or among ``others``: one shuffle and sort, without a join.
+
+    A record without a tag, bucket or key is no object and has none; batches of heads are such, so they stay out of the shuffle.
+    """
+    keyed, put = F.col("tag").isNotNull() & F.col("bucket").isNotNull() & F.col("key").isNotNull(), F.col("jtype").isin("stnd", "tomb")
+    rows = journal.filter(keyed).withColumn("own", F.lit(True))
+    if others is not None:
+        rows = rows.unionByName(others.filter(keyed & put).select(*KEYS, "sqn", "jtype", F.lit(False).alias("own")), allowMissingColumns=True)
+    rows = rows.withColumn("newest", F.max(F.when(put, F.col("sqn"))).over(Window.partitionBy(*KEYS))).filter("own").drop("own")
+    return rows.unionByName(journal.filter(~keyed).withColumn("newest", F.lit(None).cast("long")))
+
+
+def _with_newest_of(journal: DataFrame, whole: DataFrame) -> DataFrame:
+    """The records of a part with ``newest``, the highest number of a write of their key in the whole journal."""
+    newest = whole.filter(F.col("jtype").isin("stnd", "tomb")).groupBy(*KEYS).agg(F.max("sqn").alias("newest"))
+    return journal.alias("j").join(newest.alias("n"), same("j", "n", KEYS), "left").select("j.*", "n.newest")
+
+
+def decisions(journal: DataFrame, *, strategies: dict[str, str] | None = None, persisted: int | None = None, whole: DataFrame | None = None, others: DataFrame | None = None) -> DataFrame:
     """Every record with what compaction does to it: keep, convert (to key deltas) or discard.
 
     A record is kept if it is the current one of its key, or newer than the last persisted sequence number. Else
     a tag under ``retain`` converts objects and keeps other records; ``recovr`` and ``recalc`` discard. Batches of
     heads follow their tag like other records and are never current by key. ``whole`` is the journal that says what is
-    current, if ``journal`` is a part of it; of it only keys and numbers are read.
+    current, if ``journal`` is a part of it, and ``others`` is that without the part; of both only keys and numbers are read.
     """
     strategies = {s.tag: s.strategy for s in tags.registered()} | (strategies or {})
-    newest = (journal if whole is None else whole).filter(F.col("jtype").isin("stnd", "tomb")).groupBy(*KEYS).agg(F.max("sqn").alias("newest"))
-    joined = journal.alias("j").join(newest.alias("n"), same("j", "n", KEYS), "left").select("j.*", "n.newest")
+    rows = _with_newest(journal, others) if whole is None else _with_newest_of(journal, whole)
     pairs = [x for t, s in strategies.items() for x in (F.lit(t), F.lit(s))]
     strategy = F.coalesce(F.element_at(F.create_map(*pairs), F.col("tag")), F.lit("retain"))
     current = F.coalesce(F.col("newest") <= F.col("sqn"), F.lit(False))
     if persisted is not None:
         current |= F.col("sqn") > persisted
     what = F.when(current, "keep").when(strategy != "retain", "discard").when(F.col("jtype") == "stnd", "convert").otherwise("keep")
-    return joined.withColumn("decision", what).drop("newest")
+    return rows.withColumn("decision", what).drop("newest")
 
 
 def compact(journal: DataFrame, **options) -> DataFrame:
@@ -60,13 +79,11 @@ def best_run(by_file: list[float], *, longest: int = 8, single_target: float = 3
     the earlier; without any gain there is no run.
     """
     step = (run_target - single_target) / (longest - 1) if longest > 1 else 0.0
-    total = [0.0]
-    for score in by_file:
-        total.append(total[-1] + score)
     best = None
     for n in range(min(longest, len(by_file)), 0, -1):
         for first in range(len(by_file) - n + 1):
-            gain = single_target + step * (n - 1) - (total[first + n] - total[first]) / n
+            # the mean is exact, so that runs of equal scores gain the same
+            gain = single_target + step * (n - 1) - statistics.mean(by_file[first : first + n])
             if gain > 0 and (best is None or gain > best[2]):
                 best = (first, n, gain)
     return best

@@ -437,6 +437,24 @@ def test_scores_move_half_way(spark, tmp_path):
     assert 45.0 in seen and all(40.0 <= s <= 50.0 for s in seen)
 
 
+def test_runs_of_equal_scores_gain_the_same():
+    score = 100.0 * 155 / 286
+    assert maintain.best_run([95.5] + [score] * 3, longest=4, single_target=101.0, run_target=101.0)[:2] == (1, 3)
+
+
+def test_compaction_of_a_part_joins_nothing(spark):
+    """What is current in a part is the same by the whole journal and by the rest of it; records without a key are kept."""
+    spec = "sqn long, jtype string, tag string, bucket string, key string, value string"
+    data = [(1, "stnd", "o", "b", "x", "1"), (2, "stnd", "o", "b", "y", "2"), (3, "mput", "h", None, None, None), (4, "tomb", "o", "b", "y", None), (5, "stnd", "o", "b", None, "5"), (6, "stnd", "o", "b", "x", "6"), (7, "stnd", "o", "b", "z", "7")]
+    journal = conform(spark.createDataFrame(data, spec))
+    part, rest = journal.filter("sqn <= 4 OR sqn = 7"), journal.filter("sqn > 4 AND sqn < 7")
+    found = maintain.decisions(part, others=rest)
+    assert rows(found, "sqn", "decision") == rows(maintain.decisions(part, whole=journal), "sqn", "decision") == [(1, "convert"), (2, "convert"), (3, "keep"), (4, "keep"), (7, "keep")]
+    assert rows(maintain.decisions(journal), "sqn", "decision") == rows(maintain.decisions(journal, whole=journal), "sqn", "decision")
+    for df in (found, maintain.scores(journal, 2), maintain.compact(part, others=rest)):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_crash_in_compaction_loses_nothing(spark, tmp_path, monkeypatch):
     store = filled(spark, str(tmp_path / "s"))
     before = rows(store.query("object_fold", tag="o"), "key", "value")
